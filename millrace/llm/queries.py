@@ -21,7 +21,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op7_exact_dedup)}
+def op8_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.lm_score import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_mix_sources, op7_exact_dedup, op8_pack_nnls, op9_lm_score)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
