@@ -8,10 +8,10 @@ whole chain of shorter contexts down to two bytes ends in the same two bytes, by
 buckets are dealt, so a bucket needs no other; contexts of one byte and none are a table
 of 65,536 counts that all buckets get.
 
-Escapes are method C: a context seen T times with D distinct bytes gives a byte seen c
-times c/(T+D) and leaves D/(T+D) to the next shorter context, where the bytes that the
-longer one has are excluded from T and D.  After the empty context, bytes never seen are
-equally likely.
+Escapes are estimated by absolute discounting: a context seen T times with D distinct
+bytes gives a byte seen c times (c - DISCOUNT)/T and leaves DISCOUNT * D/T to the next
+shorter context, where the bytes that the longer one has are excluded from T and D.  After
+the empty context, bytes never seen are equally likely.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import materialize
 
 #: Text bytes of a block; a longer document is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
+#: What each seen byte of a context gives up for those not seen.
+DISCOUNT = 0.4
 END = b"\n"  # no word holds it; it ends each document and is the context before its start
 _WORD_SEED = 7
 
@@ -180,10 +182,10 @@ def gram_scores(code: np.ndarray, count: np.ndarray, order: int, pairs: np.ndarr
             c, t, d = after[gram].astype(float), np.full(n, after.sum(), float), np.full(n, (after > 0).sum(), float)
         t_left, d_left = t - over_t, d - over_d
         hit = open_ & (c > 0)
-        out[hit] += np.log10(c[hit] / (t_left + d_left)[hit])
+        out[hit] += np.log10((c[hit] - DISCOUNT) / t_left[hit])
         open_ &= ~hit
         miss = open_ & (d_left > 0)
-        out[miss] += np.log10(d_left[miss] / (t_left + d_left)[miss])
+        out[miss] += np.log10(DISCOUNT * d_left[miss] / t_left[miss])
         if k:  # what the context of this order has is excluded in the next: its bytes, with their counts there
             below = code & (mask >> 8)
             if k - 1 >= 2:
@@ -217,7 +219,8 @@ def _answers(asks: DataFrame, order: int, pairs: np.ndarray) -> DataFrame:
         count = np.bincount(at, np.concatenate([n for _, n in asked]), len(code))
         value = count if words else gram_scores(code, count, order, pairs)
         ends = np.cumsum([len(a) for a, _ in asked])
-        out = [_pack(value[at[e - len(a):e]].astype("<f8")) for (a, _), e in zip(asked, ends)]
+        value = value.astype("<f8" if words else "<f4")
+        out = [_pack(value[at[e - len(a):e]]) for (a, _), e in zip(asked, ends)]
         rows = [group.column("block").combine_chunks(), group.column("kind").combine_chunks(), group.column("bucket").combine_chunks(), pa.array(out, pa.binary())]
         total = _pack(np.array([(count > 0).sum(), count.sum()], "<f8")) if words else _pack(np.zeros(2))
         rows = [pa.concat_arrays([r.cast(t), pa.array([v], t)]) for r, t, v in zip(rows, _PART.types, ("", "stat" if words else "none", key[1].as_py(), total))]
@@ -239,7 +242,7 @@ def _look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndar
     return values[at]
 
 
-def score(docs: DataFrame, order: int = 4, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, buckets: int | None = None) -> DataFrame:
+def score(docs: DataFrame, order: int = 5, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, buckets: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score, n_bytes.
 
@@ -280,7 +283,7 @@ def score(docs: DataFrame, order: int = 4, id_col: str = "doc_id", text_col: str
         table = pa.ipc.open_stream(own.column("payload")[0].as_py()).read_all().combine_chunks()
         normal = table.column("text").to_pylist()
         reply = {(k, b): p for k, b, p in zip(got.column("kind").to_pylist(), got.column("bucket").to_pylist(), got.column("payload").to_pylist())}
-        values = lambda k, bucket: np.concatenate([_unpack(reply[k, b], "<f8")[0] for b in np.unique(bucket).tolist()] or [np.zeros(0)])
+        values = lambda k, bucket: np.concatenate([_unpack(reply[k, b], "<f8" if k == WORDS else "<f4")[0] for b in np.unique(bucket).tolist()] or [np.zeros(0)])
         split = [t.split() for t in normal]
         words = list({w for s in split for w in s})
         code = _word_codes(words)
