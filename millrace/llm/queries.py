@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.simhash import near_groups
+
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.mixing import mix
 
@@ -33,7 +39,7 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op7_exact_dedup, op8_pack_nnls, op9_lm_score)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_mix_sources, op7_exact_dedup, op8_pack_nnls, op9_lm_score)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
