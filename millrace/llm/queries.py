@@ -21,6 +21,13 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.quality import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.exact_dedup import mark_duplicates
 
@@ -39,7 +46,13 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_mix_sources, op7_exact_dedup, op8_pack_nnls, op9_lm_score)}
+def op10_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.binary_rows import packed_rows
+
+    return packed_rows(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_mix_sources, op6_quality_rules, op7_exact_dedup, op8_pack_nnls, op9_lm_score, op10_token_rows)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
