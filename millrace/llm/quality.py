@@ -21,30 +21,27 @@ from millrace.llm.common import SPACE, unused
 SAMPLE = 20_000
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text; null counts as empty."""
-    t = F.coalesce(text.cast("string"), F.lit(""))
-    chars = F.length(t)
-    words = F.filter(F.split(t, SPACE), lambda w: w != "")
-    n_words = F.size(words)
-    lines = F.split(t, "\n")
+STATISTICS = ("log_chars", "log_words", "word_length", "upper", "digits", "symbols", "bangs", "pipes", "ends",
+              "distinct_words", "repeated_words", "distinct_lines", "line_length")
+
+
+def with_statistics(docs: DataFrame, text_col: str, packed: str) -> DataFrame:
+    """``docs`` with the statistics of its whole texts (null counts as empty) in the struct ``packed``."""
+    text, words, lines = (unused(docs, n) for n in ("__text", "__words", "__lines"))
+    t = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    # Columns of their own: an array that a lambda looks into is then not made anew for each element.
+    parted = docs.withColumn(text, t).withColumn(words, F.filter(F.split(text, SPACE), lambda w: w != "")).withColumn(lines, F.split(text, "\n"))
+    t, w, ln = F.col(text), F.col(words), F.col(lines)
+    chars, n = F.length(t), F.size(w)
     count = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    per = lambda x, n: x / F.greatest(n, F.lit(1))
-    return {
-        "log_chars": F.log1p(chars),
-        "log_words": F.log1p(n_words),
-        "word_length": per(chars, n_words),
-        "upper": per(count(r"\p{Lu}"), chars),
-        "digits": per(count("[0-9]"), chars),
-        "symbols": per(count(r"[^\p{L}\p{N}\s.,;:'!|]"), chars),
-        "bangs": per(count("!"), n_words),
-        "pipes": per(count(r"\|"), n_words),
-        "ends": per(count(r"[.?!]"), n_words),
-        "distinct_words": per(F.size(F.array_distinct(words)), n_words),
-        "repeated_words": per(F.size(F.filter(words, lambda w, i: (i > 0) & (w == F.get(words, i - 1)))), n_words),
-        "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
-        "line_length": chars / F.size(lines),
-    }
+    per = lambda x, of: x / F.greatest(of, F.lit(1))
+    stats = (
+        F.log1p(chars), F.log1p(n), per(chars, n), per(count(r"\p{Lu}"), chars), per(count("[0-9]"), chars),
+        per(count(r"[^\p{L}\p{N}\s.,;:'!|]"), chars), per(count("!"), n), per(count(r"\|"), n), per(count("[.?!]"), n),
+        per(F.size(F.array_distinct(w)), n),
+        per(F.size(F.filter(F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(n, F.lit(1))).alias("b")), lambda p: p["a"] == p["b"])), n),
+        F.size(F.array_distinct(ln)) / F.size(ln), chars / F.size(ln))
+    return parted.withColumn(packed, F.struct(*[c.cast("double").alias(name) for name, c in zip(STATISTICS, stats)])).drop(text, words, lines)
 
 
 @dataclass(frozen=True)
@@ -53,8 +50,8 @@ class Rule:
 
     terms: tuple[tuple[str, bool, float], ...]
 
-    def column(self) -> Column:
-        each = [F.col(f"`{name}`") > F.lit(v) if above else F.col(f"`{name}`") <= F.lit(v) for name, above, v in self.terms]
+    def column(self, stats: Column) -> Column:
+        each = [stats[name] > F.lit(v) if above else stats[name] <= F.lit(v) for name, above, v in self.terms]
         return reduce(lambda a, b: a & b, each)
 
     def matches(self, x: np.ndarray, names: list[str]) -> np.ndarray:
@@ -130,11 +127,11 @@ class RuleModel:
     intercept: float
     weights: tuple[tuple[Rule, float], ...]
 
-    def score(self) -> Column:
-        """The probability of label 1, from columns named as the statistics."""
+    def score(self, stats: Column) -> Column:
+        """The probability of label 1, from a struct of the statistics."""
         margin = F.lit(self.intercept)
         for rule, w in self.weights:
-            margin = margin + F.when(rule.column(), F.lit(w)).otherwise(F.lit(0.0))
+            margin = margin + F.when(rule.column(stats), F.lit(w)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-margin))
 
 
@@ -164,13 +161,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = (
         labels.where(~held_out(ident) & F.col(f"`{label_col}`").isNotNull()).select(ident.alias("__id"), F.col(f"`{label_col}`").cast("double").alias("__label"))
         .orderBy(F.xxhash64("__id"), "__id", "__label").limit(sample))
-    stats = statistics(F.col("__text"))
     # ``sample`` rows of two numbers bound the broadcast side.
-    rows = (
-        docs.select(ident.alias("__doc"), F.col(f"`{text_col}`").alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
-        .select("__id", "__label", *[c.cast("double").alias(n) for n, c in stats.items()])
-        .orderBy(F.xxhash64("__id"), "__id", "__label", *stats).limit(sample).toPandas())
-    names = list(stats)
+    found = docs.select(ident.alias("__doc"), F.col(f"`{text_col}`").alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
+    names = list(STATISTICS)
+    rows = with_statistics(found, "__text", "__stats").select("__id", "__label", "__stats.*").orderBy(F.xxhash64("__id"), "__id", "__label", *names).limit(sample).toPandas()
     rows = rows.sort_values(["__id", "__label", *names])
     return fit_rules(rows[names].to_numpy(float), rows["__label"].to_numpy(float), names)
 
@@ -180,20 +174,13 @@ def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: s
 
     Only the text is looked at: null and empty texts have the statistics of an empty text,
     repeated rows the same score each, other columns don't matter."""
-    stats = statistics(F.col(f"`{text_col}`"))
     ident = F.col(f"`{id_col}`")
-    wide = docs.select(ident.alias("doc_id"), held_out(ident).alias("held_out"), *[c.cast("double").alias(n) for n, c in stats.items()])
-    return wide.select("doc_id", "held_out", model.score().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    wide = with_statistics(docs.select(ident.alias("doc_id"), F.col(f"`{text_col}`").alias("text")), "text", "stats")
+    return wide.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score(F.col("stats")).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: RuleModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose score is at least ``threshold``, all columns kept."""
     packed = unused(docs, "__stats")
-    stats = statistics(F.col(f"`{text_col}`"))
-    wide = docs.withColumn(packed, F.struct(*[c.cast("double").alias(n) for n, c in stats.items()]))
-    margin = F.lit(model.intercept)
-    for rule, w in model.weights:
-        each = [(F.col(packed)[n] > F.lit(v)) if above else (F.col(packed)[n] <= F.lit(v)) for n, above, v in rule.terms]
-        margin = margin + F.when(reduce(lambda a, b: a & b, each), F.lit(w)).otherwise(F.lit(0.0))
-    scored = unused(docs, "__score")
-    return wide.withColumn(scored, 1 / (1 + F.exp(-margin))).where(F.col(scored) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    wide = with_statistics(docs, text_col, packed)
+    return wide.where(model.score(F.col(packed)) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
