@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.chat import repair
+
+    return repair(_table(spark, sf_dir, "conversations"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.simhash import near_groups
 
@@ -52,7 +58,7 @@ def op10_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_rows(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_mix_sources, op6_quality_rules, op7_exact_dedup, op8_pack_nnls, op9_lm_score, op10_token_rows)}
+QUERIES = {f.__name__: f for f in (op1_chat_repair, op3_simhash, op4_mix_sources, op6_quality_rules, op7_exact_dedup, op8_pack_nnls, op9_lm_score, op10_token_rows)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
