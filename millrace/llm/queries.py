@@ -27,6 +27,12 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op5_ann_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.ann import search
+
+    return search(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.quality import fit, score
 
@@ -58,7 +64,7 @@ def op10_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_rows(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_repair, op3_simhash, op4_mix_sources, op6_quality_rules, op7_exact_dedup, op8_pack_nnls, op9_lm_score, op10_token_rows)}
+QUERIES = {f.__name__: f for f in (op1_chat_repair, op3_simhash, op4_mix_sources, op5_ann_partitions, op6_quality_rules, op7_exact_dedup, op8_pack_nnls, op9_lm_score, op10_token_rows)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
