@@ -23,7 +23,7 @@ SAMPLE = 8192
 #: Candidates and queries that meet in one task.
 BLOCK = 4096
 #: Rows that a part has on average.
-PART_ROWS = 2048
+PART_ROWS = 1024
 
 
 def neighbour_graph(x: np.ndarray, k: int = 16) -> tuple[np.ndarray, np.ndarray]:
