@@ -15,6 +15,12 @@ def op1_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(_table(spark, sf_dir, "conversations"))
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.simhash import near_groups
 
@@ -64,7 +70,7 @@ def op10_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_rows(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_repair, op3_simhash, op4_mix_sources, op5_ann_partitions, op6_quality_rules, op7_exact_dedup, op8_pack_nnls, op9_lm_score, op10_token_rows)}
+QUERIES = {f.__name__: f for f in (op1_chat_repair, op2_repeated_passages, op3_simhash, op4_mix_sources, op5_ann_partitions, op6_quality_rules, op7_exact_dedup, op8_pack_nnls, op9_lm_score, op10_token_rows)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
