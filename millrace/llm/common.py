@@ -98,6 +98,19 @@ def ranked(df: DataFrame, order: list[Column], rank: str, sums: dict[str, str] |
     return out.drop(part, local, "__rows", *[f"__sum_{c}" for c in sums])
 
 
+def stay(docs: DataFrame, id_col: str, digest: str, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and ``digest`` (a column of theirs) are a row (id, digest)
+    of ``chosen``; of repeated rows, one.
+
+    What is joined on is the pair, so a digest that many rows share is no hot key."""
+    pairs = materialize(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(digest).alias("d")).groupBy("id", "d").count().where("count > 1"), "repeated")
+    match = lambda a, b: (a[digest] == b["d"]) & a[id_col].eqNullSafe(b["id"])
+    both = docs.join(chosen, (docs[digest] == chosen["digest"]) & docs[id_col].eqNullSafe(chosen["id"]), "left_semi")
+    once = both.join(pairs, match(both, pairs), "left_anti")
+    more = both.join(pairs, match(both, pairs), "left_semi").dropDuplicates([digest, id_col])
+    return once.unionByName(more)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a long, b long): one row (node, label) per node
     that has an edge; label is the smallest node of its component.

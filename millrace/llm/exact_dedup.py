@@ -12,7 +12,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACE, lookup, materialize, new_path, unused
+from millrace.llm.common import SPACE, lookup, materialize, new_path, stay, unused
 
 
 def text_digest(text: Column) -> Column:
@@ -84,15 +84,8 @@ def mark_duplicates(docs: DataFrame, index: DigestIndex | None = None, id_col: s
 def drop_duplicates(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay under the rules of ``mark_duplicates``, all columns kept."""
     index = index or open_index(docs.sparkSession)
-    digest, tag = unused(docs, "__digest"), unused(docs, "__tag")
-    ident = F.col(f"`{id_col}`")
-    digests = materialize(docs.select(ident.alias("doc_id"), text_digest(F.col(f"`{text_col}`")).alias("digest"), F.lit(0).cast("long").alias("tag")), "digests")
-    stay = group_digests(digests, index).where("keep_tag is not null").select(F.col("digest").alias(digest), F.col("keep_id").alias(tag))
-    rows = docs.withColumn(digest, text_digest(F.col(f"`{text_col}`")))
-    # The pair (digest, id) is what is joined on, so that a text with many copies is no hot key.
-    both = rows.join(stay, (rows[digest] == stay[digest]) & rows[id_col].eqNullSafe(stay[tag]), "left_semi")
-    repeated = materialize(digests.groupBy("digest", "doc_id").count().where("count > 1").select(F.col("digest").alias(digest), F.col("doc_id").alias(tag)), "repeated")
-    again = (both[digest] == repeated[digest]) & both[id_col].eqNullSafe(repeated[tag])
-    once = both.join(repeated, again, "left_anti")
-    more = both.join(repeated, again, "left_semi").dropDuplicates([digest, id_col])
-    return once.unionByName(more).select(*[F.col(f"`{c}`") for c in docs.columns])
+    digest = unused(docs, "__digest")
+    digests = materialize(docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_digest(F.col(f"`{text_col}`")).alias("digest"), F.lit(0).cast("long").alias("tag")), "digests")
+    chosen = group_digests(digests, index).where("keep_tag is not null").select("digest", F.col("keep_id").alias("id"))
+    kept = stay(docs.withColumn(digest, text_digest(F.col(f"`{text_col}`"))), id_col, digest, chosen)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

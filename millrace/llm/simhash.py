@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, comb, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, lookup, materialize
+from millrace.llm.common import components, lookup, materialize, stay, unused
 
 SEED = 42
 SEGMENTS = 32
@@ -216,3 +216,164 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str =
     found = materialize(nodes.groupBy("label").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"), F.count(F.lit(1)).alias("members")), "components")
     table = materialize(lookup(nodes, found, "label", "members").select("fp", "n", "component_id", "component_size"), "by-fingerprint")
     return lookup(fps, table, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
+
+
+# Similarity instead of a fixed number of bits: wide fingerprints, of which bits are sampled.
+
+#: 64-bit words of a wide fingerprint.
+WORDS_WIDE = 16
+#: Of pairs just as similar as asked for, the share that no table brings together.
+MISSED = 0.01
+#: Cells of up to this many rows compare all of them, larger ones each with a leader.
+SMALL = 32
+
+
+def bit_difference(similarity: float) -> float:
+    """The share of bits in which two fingerprints differ on average whose sets of shingles,
+    equally large, have this Jaccard similarity."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def wide_fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, digest, node, wide): digest is a hash of the text, node one of the wide fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = np.random.default_rng(SEED).integers(1, 1 << 63, WORDS_WIDE, np.uint64) * np.uint64(2) + np.uint64(1)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                each = [shingle_hashes((t or "").encode(), words) for t in b.column(2).to_pylist()]
+                lengths = np.fromiter(map(len, each), np.int64, len(each))
+                hashes = np.fromiter((h for e in each for h in e), np.uint64, int(lengths.sum()))
+                wide = np.zeros((len(each), WORDS_WIDE), "<u8")
+                for k, f in enumerate(factors):
+                    h = hashes * f
+                    h ^= h >> np.uint64(32)
+                    wide[:, k] = majority(h * f, lengths)
+                rows = [w.tobytes() for w in wide]
+                node = np.array([xxhash.xxh64_intdigest(r, SEED) for r in rows], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(rows, pa.binary())], names=["id", "digest", "node", "wide"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return docs.select(F.col(f"`{id_col}`"), F.xxhash64(text), text).mapInArrow(run, f"id {kind}, digest bigint, node bigint, wide binary")
+
+
+def _tables(distinct: int, similarity: float) -> np.ndarray:
+    """For each table the bits that it samples: so many that a cell has about four random rows,
+    and as many tables as bring together all but MISSED of the pairs at ``similarity``."""
+    k = max(int(np.ceil(np.log2(max(distinct, 2) / 4))), 8)
+    n = int(np.ceil(log(MISSED) / log(1 - (1 - bit_difference(similarity)) ** k)))
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.choice(64 * WORDS_WIDE, k, replace=False) for _ in range(n)])
+
+
+def _cell_pairs(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates among rows sorted by cell: of small cells all pairs within ``radius``, of others
+    each row with a leader within it."""
+    cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+    size = np.diff(cuts)
+    each = np.repeat(size, size)
+    a, b = [], []
+    for d in range(1, min(int(size.max(initial=0)), SMALL)):
+        at = np.flatnonzero((cell[d:] == cell[:-d]) & (each[d:] <= SMALL))
+        at = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= radius]
+        a.append(node[at])
+        b.append(node[at + d])
+    for s, n in zip(cuts[:-1][size > SMALL].tolist(), size[size > SMALL].tolist()):
+        rest = np.arange(s, s + n)
+        while len(rest) > 1:
+            near = np.bitwise_count(fp[rest] ^ fp[rest[0]]) <= radius
+            near[0] = False
+            a.append(np.full(int(near.sum()), node[rest[0]]))
+            b.append(node[rest[near]])
+            near[0] = True
+            rest = rest[~near]
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return join(a), join(b)
+
+
+def similar_nodes(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between rows of ``nodes`` (node, wide, distinct) whose fingerprints say that
+    they are at least so similar."""
+    spark = nodes.sparkSession
+    tables = _tables(nodes.count(), similarity)
+    share = bit_difference(similarity)
+    radius = int(np.ceil(64 * share + 3 * np.sqrt(64 * share * (1 - share))))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wide = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            bits = np.unpackbits(wide, axis=1, bitorder="little").T.copy()
+            fp = np.ascontiguousarray(wide[:, :8]).view("<i8").reshape(-1)
+            for t, own in enumerate(tables):
+                key = np.full(b.num_rows, t + 1, np.uint64)
+                for k in own.tolist():
+                    key = (key << np.uint64(1)) | bits[k]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0), pa.array(fp)], names=["cell", "node", "fp"])
+
+    rows = nodes.select("node", "wide").mapInArrow(deal, "cell bigint, node bigint, fp bigint")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows_held = 0
+
+        def close(last: bool) -> Iterator[pa.RecordBatch]:
+            # The last cell may go on in the next batch, unless it is so large that its rows so far are taken by themselves.
+            nonlocal held, rows_held
+            cell, node, fp = (np.concatenate([h[k] for h in held]) for k in range(3))
+            end = len(cell) if last else int(np.searchsorted(cell, cell[-1]))
+            if not end and len(cell) >= CELL * 16:
+                end = len(cell)
+            if end:
+                a, b = _cell_pairs(cell[:end], node[:end], fp[:end].view(np.uint64), radius)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            held, rows_held = ([[cell[end:], node[end:], fp[end:]]], len(cell) - end) if end < len(cell) else ([], 0)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch.column(k).to_numpy() for k in range(3)])
+                rows_held += batch.num_rows
+                if rows_held >= CELL * 16:
+                    yield from close(False)
+        if held:
+            yield from close(True)
+
+    # Range-partitioned by cell, then node: a cell that holds very many rows is cut where a part
+    # ends; rows on either side meet in the cells of other tables.
+    dealt = rows.repartitionByRange(parts, "cell", "node").sortWithinPartitions("cell")
+    pairs = materialize(dealt.mapInArrow(meet, "a bigint, b bigint").distinct(), "pairs")
+    counted = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(nodes.select(F.col("node").alias("a"), F.col("wide").alias("wa")), "a"), "counted")
+    both = lookup(pairs, counted, "a", "n").join(nodes.select(F.col("node").alias("b"), F.col("wide").alias("wb")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = int(64 * WORDS_WIDE * share)
+        for b in batches:
+            wa, wb = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u8").reshape(b.num_rows, WORDS_WIDE) for k in (2, 3))
+            good = np.bitwise_count(wa ^ wb).sum(1) <= most
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(good)) for k in (0, 1)], names=["a", "b"])
+
+    return both.select("a", "b", "wa", "wb").mapInArrow(verify, "a bigint, b bigint")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without its near duplicates, all columns kept: of documents that are linked,
+    directly or through others, the one with the smallest id stays (null last).
+
+    Linked are documents whose sets of ``words``-word shingles have a Jaccard similarity of
+    ``similarity`` or more, as estimated from fingerprints of 64 * WORDS_WIDE bits (within
+    about 0.03).  Candidates come from tables of sampled bits that all but MISSED of pairs
+    just so similar meet in.  Texts of fewer words are one shingle, empty and null ones are
+    alike; of repeated rows one stays."""
+    found = materialize(wide_fingerprints(docs, words, id_col, text_col), "wide")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first")
+    nodes = materialize(found.groupBy("node").agg(F.first("wide").alias("wide"), first), "nodes")
+    labels = components(similar_nodes(nodes.select("node", "wide"), similarity))
+    own = nodes.join(labels, "node", "left").select(F.coalesce("label", "node").alias("label"), "first")
+    chosen = own.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.id").alias("id"), F.col("first.digest").alias("digest"))
+    digest = unused(docs, "__digest")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    kept = stay(docs.withColumn(digest, F.xxhash64(text)), id_col, digest, materialize(chosen, "chosen"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
