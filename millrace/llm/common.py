@@ -3,12 +3,12 @@ hot keys, ranks over a whole table, and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.storage import materialize, new_path, ranked, shared_folder  # noqa: F401
+from millrace.storage import unused_name as unused  # noqa: F401
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -16,42 +16,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 HOT_KEYS = 512
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only a local session without that setting gets a temporary folder of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    set_before = spark.sparkContext.getCheckpointDir()
-    if set_before:
-        return set_before
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there,
-    and a lost executor costs only the tasks that it ran."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def unused(df: DataFrame, name: str) -> str:
-    """``name``, with underscores until no column of ``df`` has it (in any case)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
     """Inner join of ``rows`` with ``table``, which has one row per key and, in ``weight``,
     the number of ``rows`` with that key.
@@ -68,36 +32,6 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFram
     return few.unionByName(rest)
 
 
-def ranked(df: DataFrame, order: list[Column], rank: str, sums: dict[str, str] | None = None, partitions: int | None = None) -> DataFrame:
-    """Add the 0-based ``rank`` of each row under ``order`` and, for each (name, column) of
-    ``sums``, the sum of that column over the rows before it.
-
-    No task sees the whole table: it is range-partitioned once and written, each part adds
-    up what it has, and only one row per part goes through a window."""
-    sums = sums or {}
-    part, local = unused(df, "__part"), unused(df, "__local")
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = materialize(df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()), "ranked")
-    from pyspark.sql import Window
-
-    inside = Window.partitionBy(part).orderBy(*order)
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    out = laid.withColumn(local, F.row_number().over(inside) - F.lit(1).cast("long"))
-    zero = {c: F.coalesce(F.sum(v).over(before), F.lit(0)) for c, v in sums.items()}
-    for c, v in zero.items():
-        out = out.withColumn(c, v)
-    totals = laid.groupBy(part).agg(F.count(F.lit(1)).alias("__rows"), *[F.sum(v).alias(f"__sum_{c}") for c, v in sums.items()])
-    prior = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        part, F.coalesce(F.sum("__rows").over(prior), F.lit(0)).alias("__rows"),
-        *[F.coalesce(F.sum(f"__sum_{c}").over(prior), F.lit(0)).alias(f"__sum_{c}") for c in sums])
-    out = out.join(F.broadcast(starts), part)
-    out = out.withColumn(rank, (F.col("__rows") + F.col(local)).cast("long"))
-    for c in sums:
-        out = out.withColumn(c, F.col(f"__sum_{c}") + F.col(c))
-    return out.drop(part, local, "__rows", *[f"__sum_{c}" for c in sums])
-
-
 def stay(docs: DataFrame, id_col: str, digest: str, chosen: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id and ``digest`` (a column of theirs) are a row (id, digest)
     of ``chosen``; of repeated rows, one.
