@@ -214,12 +214,12 @@ def _probe(points: DataFrame, queries: DataFrame, router: Router, probes: int, k
     right = visits.select("key", "v", "part", block(q_of).alias("qb"), span(p_of).alias("pb"))
 
     def meet(_, own: pa.Table, asks: pa.Table) -> pa.Table:
-        schema = pa.schema([("key", pa.string()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        out = pa.schema([("key", pa.string()), ("near", pa.list_(pa.struct([("away", pa.float64()), ("vec_id", pa.int64())])))])
         if not own.num_rows or not asks.num_rows:
-            return schema.empty_table()
+            return out.empty_table()
         c, q = (np.array(t.column("v").to_pylist(), np.float64) for t in (own, asks))
         ids = own.column("ids").to_pylist()
-        keys, vec, score = [], [], []
+        near: list[list[dict]] = [[] for _ in range(len(q))]
         for a in range(0, len(q), 512):
             s = q[a:a + 512] @ c.T
             m = min(k + 1, len(c))
@@ -228,25 +228,21 @@ def _probe(points: DataFrame, queries: DataFrame, router: Router, probes: int, k
             i, j = np.nonzero(s >= least - 1e-9)
             exact = np.einsum("ij,ij->i", q[a + i], c[j])
             sizes = np.array([len(ids[x]) for x in j.tolist()])
-            rows = np.repeat(i, sizes)
+            rows, away = np.repeat(i, sizes), -np.repeat(exact, sizes)
             v = np.array([y for x in j.tolist() for y in ids[x]], np.int64)
-            e = np.repeat(exact, sizes)
-            at = np.lexsort((v, -e, rows))
-            rows, v, e = rows[at], v[at], e[at]
-            first = np.searchsorted(rows, rows, "left")
-            top = np.arange(len(rows)) - first <= k
-            name = asks.column("key").to_pylist()
-            keys += [name[a + r] for r in rows[top].tolist()]
-            vec.append(v[top])
-            score.append(e[top])
-        return pa.Table.from_arrays([pa.array(keys, pa.string()), pa.array(np.concatenate(vec)), pa.array(np.concatenate(score))], schema=schema)
+            at = np.lexsort((v, away, rows))
+            rows, v, away = rows[at], v[at], away[at]
+            top = np.arange(len(rows)) - np.searchsorted(rows, rows, "left") <= k
+            for r, e, y in zip(rows[top].tolist(), away[top].tolist(), v[top].tolist()):
+                near[a + r].append({"away": e, "vec_id": y})
+        return pa.Table.from_arrays([asks.column("key").combine_chunks(), pa.array(near, out.field("near").type)], schema=out)
 
-    return left.groupBy("part", "pb", "qb").cogroup(right.groupBy("part", "pb", "qb")).applyInArrow(meet, "key string, vec_id bigint, score double")
+    return left.groupBy("part", "pb", "qb").cogroup(right.groupBy("part", "pb", "qb")).applyInArrow(meet, "key string, near array<struct<away:double,vec_id:bigint>>")
 
 
 def _merge(found: DataFrame, k: int) -> DataFrame:
     """(key, near): the k + 1 best of each query, best first."""
-    order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
-    top = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
-    near = F.transform(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))), lambda p: F.struct(p["vec_id"].alias("vec_id"), p["score"].alias("score")))
-    return top.groupBy("key").agg(near.alias("near"))
+    # One short list for each block that a query met, so they go into one array.
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1)
+    near = F.transform(best, lambda p: F.struct(p["vec_id"].alias("vec_id"), (-p["away"]).alias("score")))
+    return found.groupBy("key").agg(near.alias("near"))
