@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,5 +127,5 @@ def packed_rows(docs: DataFrame, width: int = 2048, pad_id: int = 0, end_id: int
 
 
 def write_rows(rows: DataFrame, path: str) -> None:
-    """Write packed rows as Parquet under ``path``, one folder per shard range, ids uncompressed within pages."""
+    """Write packed rows as Parquet under ``path``; a row's ids are a row of the id matrix, byte for byte."""
     rows.write.mode("errorifexists").parquet(path)

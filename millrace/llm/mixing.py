@@ -5,16 +5,16 @@ one more with probability r - floor(r).  Those fractions are rounded dependently
 documents of a source trade mass (in words, so that the sum of words stays) until the
 probability of one of them is 0 or 1, and the one left over meets the next.  Documents
 meet in small leaves first, what is left over of each leaf meets in the next level, and
-so on up a tree; only the last one of a source is rounded alone.  So a source misses its
-target by less than one document.
+so on up a tree; only the last one of a source is rounded alone, to the nearer number.  So
+a source misses its target by half a document at most.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, materialize, ranked
+from millrace.llm.common import WORD, materialize, ranked, unused
 
 #: Documents (or leftovers) that meet in one leaf of the reduction tree, on average.
 FAN_IN = 64
@@ -76,7 +76,7 @@ def _leaf(units: Column, seed: Column, last: Column) -> Column:
 
     def close(acc: Column) -> Column:
         a = acc["open"]
-        end = a.withField("p", (_uniform(seed, a["key"], F.lit("last")) < a["p"]).cast("double"))
+        end = a.withField("p", (a["p"] >= 0.5).cast("double"))
         shut = F.struct(F.when(F.lit(False), a).alias("open"), F.concat(acc["done"], F.array(end)).alias("done"))
         return F.when(last & a.isNotNull(), shut).otherwise(acc)
 
@@ -110,9 +110,9 @@ def round_copies(units: DataFrame, largest: int, seed: int = 42) -> DataFrame:
         largest, level = n, level + 1
 
 
-def take_copies(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), ceiling: float = 3.0, seed: int = 42) -> DataFrame:
-    """How often each row of ``sizes`` (doc_id, source, size) is taken: doc_id, source, size,
-    source_size, target, copies.
+def take_copies(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), ceiling: float = 3.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """How often each row of ``sizes`` (doc_id, source, size) is taken, as (doc_id, source, size,
+    copies), and the targets of the sources.
 
     Rows that agree in all three columns (repeated rows) are one unit of their joint mass
     and get the same number of copies.  Rows without words get none."""
@@ -154,7 +154,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), ceiling:
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), ceiling: float = 3.0, seed: int = 42,
               id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as ``mix`` takes it, with the columns of ``docs``."""
-    size, copies_col = (next(c for c in (n + "_" * k for k in range(len(docs.columns) + 1)) if c.lower() not in {x.lower() for x in docs.columns}) for n in ("__size", "__copies"))
+    size, copies_col = unused(docs, "__size"), unused(docs, "__copies")
     copies, _ = take_copies(_sized(docs, id_col, text_col, source_col), weights, ceiling, seed)
     taken = copies.where("copies > 0").select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("copies").alias(copies_col))
     rows = docs.withColumn(size, word_count(F.col(f"`{text_col}`")))
