@@ -55,7 +55,8 @@ def common_suffix(a: Column, b: Column) -> Column:
 def shift_digits(c: Column, by: Column) -> Column:
     """The last run of digits moved by ``by``, zero-filled to its width."""
     digits = F.regexp_extract(c, "([0-9]+)[^0-9]*$", 1)
-    moved = F.lpad((digits.cast("long") + by).cast("string"), F.length(digits), "0")
+    sum_ = (digits.cast("long") + by).cast("string")
+    moved = F.lpad(sum_, F.greatest(F.length(digits), F.length(sum_)), "0")
     return F.when(digits == "", c).otherwise(F.concat(F.regexp_extract(c, "^(.*?)[0-9]+[^0-9]*$", 1), moved, F.regexp_extract(c, "([^0-9]*)$", 1)))
 
 
