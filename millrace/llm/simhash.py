@@ -224,8 +224,6 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str =
 WORDS_WIDE = 16
 #: Of pairs just as similar as asked for, the share that no table brings together.
 MISSED = 0.01
-#: Cells of up to this many rows compare all of them, larger ones each with a leader.
-SMALL = 32
 
 
 def bit_difference(similarity: float) -> float:
@@ -269,26 +267,20 @@ def _tables(distinct: int, similarity: float) -> np.ndarray:
 
 
 def _cell_pairs(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates among rows sorted by cell: of small cells all pairs within ``radius``, of others
-    each row with a leader within it."""
-    cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
-    size = np.diff(cuts)
-    each = np.repeat(size, size)
+    """Candidates among rows sorted by cell and node: each row with the first of its cell that is
+    within ``radius`` and with no other one, so a group gives a star, not all pairs; and as the
+    smallest node leads wherever it is, tables agree on most of them."""
     a, b = [], []
-    for d in range(1, min(int(size.max(initial=0)), SMALL)):
-        at = np.flatnonzero((cell[d:] == cell[:-d]) & (each[d:] <= SMALL))
-        at = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= radius]
-        a.append(node[at])
-        b.append(node[at + d])
-    for s, n in zip(cuts[:-1][size > SMALL].tolist(), size[size > SMALL].tolist()):
-        rest = np.arange(s, s + n)
-        while len(rest) > 1:
-            near = np.bitwise_count(fp[rest] ^ fp[rest[0]]) <= radius
-            near[0] = False
-            a.append(np.full(int(near.sum()), node[rest[0]]))
-            b.append(node[rest[near]])
-            near[0] = True
-            rest = rest[~near]
+    while len(cell) > 1:
+        heads = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        head = np.repeat(heads, np.diff(np.r_[heads, len(cell)]))
+        near = np.bitwise_count(fp ^ fp[head]) <= radius
+        own = np.arange(len(cell)) == head
+        at = np.flatnonzero(near & ~own)
+        a.append(node[head[at]])
+        b.append(node[at])
+        rest = ~near & ~own
+        cell, node, fp = cell[rest], node[rest], fp[rest]
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     return join(a), join(b)
 
@@ -343,7 +335,7 @@ def similar_nodes(nodes: DataFrame, similarity: float) -> DataFrame:
 
     # Range-partitioned by cell, then node: a cell that holds very many rows is cut where a part
     # ends; rows on either side meet in the cells of other tables.
-    dealt = rows.repartitionByRange(parts, "cell", "node").sortWithinPartitions("cell")
+    dealt = rows.repartitionByRange(parts, "cell", "node").sortWithinPartitions("cell", "node")
     pairs = materialize(dealt.mapInArrow(meet, "a bigint, b bigint").distinct(), "pairs")
     counted = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(nodes.select(F.col("node").alias("a"), F.col("wide").alias("wa")), "a"), "counted")
     both = lookup(pairs, counted, "a", "n").join(nodes.select(F.col("node").alias("b"), F.col("wide").alias("wb")), "b")

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-EVENTS = T.StructType.fromDDL("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, folder: str, schema: T.StructType = EVENTS) -> DataFrame:
+def read_events(spark: SparkSession, folder: str, schema: str = EVENTS) -> DataFrame:
     """A stream of the Parquet files that come into ``folder``."""
     return spark.readStream.schema(schema).parquet(folder)
 
