@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.binding import let
+
 #: Payload symbols: printable ASCII without those that have a meaning elsewhere.
 SYMBOLS = "".join(c for c in map(chr, range(33, 127)) if c not in ",~*\\#=[]<>\"'`_")
 BASE = len(SYMBOLS)
@@ -34,47 +36,57 @@ def _weighted(c: Column, weights: tuple[int, ...]) -> Column:
     return sum((_digit(c, k) * w for k, w in enumerate(weights)), F.lit(0))
 
 
+def _both_digits(body: Column, first: Callable[[Column], Column], second: Callable[[Column, Column], Column]) -> Column:
+    return let(body, lambda b: let(first(b), lambda d1: F.concat(d1.cast("string"), second(b, d1).cast("string"))))
+
+
 def cpf_digits(body: Column) -> Column:
     """The two check digits of nine digits."""
-    d1 = _weighted(body, CPF_WEIGHTS[0]) * 10 % 11 % 10
-    d2 = (_weighted(body, CPF_WEIGHTS[1][:9]) + d1 * CPF_WEIGHTS[1][9]) * 10 % 11 % 10
-    return F.concat(d1.cast("string"), d2.cast("string"))
+    first = lambda b: _weighted(b, CPF_WEIGHTS[0]) * 10 % 11 % 10
+    second = lambda b, d1: (_weighted(b, CPF_WEIGHTS[1][:9]) + d1 * CPF_WEIGHTS[1][9]) * 10 % 11 % 10
+    return _both_digits(body, first, second)
 
 
 def cnpj_digits(body: Column) -> Column:
     """The two check digits of twelve digits."""
-    check = lambda r: F.when(r < 2, 0).otherwise(11 - r)
-    d1 = check(_weighted(body, CNPJ_WEIGHTS[0]) % 11)
-    d2 = check((_weighted(body, CNPJ_WEIGHTS[1][:12]) + d1 * CNPJ_WEIGHTS[1][12]) % 11)
-    return F.concat(d1.cast("string"), d2.cast("string"))
+    check = lambda r: let(r % 11, lambda x: F.when(x < 2, 0).otherwise(11 - x))
+    first = lambda b: check(_weighted(b, CNPJ_WEIGHTS[0]))
+    second = lambda b, d1: check(_weighted(b, CNPJ_WEIGHTS[1][:12]) + d1 * CNPJ_WEIGHTS[1][12])
+    return _both_digits(body, first, second)
 
 
 def to_payload(number: Column, width: int) -> Column:
-    return F.concat(*[F.substring(F.lit(SYMBOLS), (F.floor(number / F.lit(BASE**k)) % BASE + 1).cast("int"), F.lit(1)) for k in range(width - 1, -1, -1)])
+    symbol = lambda n, k: F.substring(F.lit(SYMBOLS), (F.floor(n / F.lit(BASE**k)) % BASE + 1).cast("int"), F.lit(1))
+    return let(number, lambda n: F.concat(*[symbol(n, k) for k in range(width - 1, -1, -1)]))
 
 
 def from_payload(c: Column, width: int) -> Column:
-    place = lambda k: (F.instr(F.lit(SYMBOLS), F.substring(c, k + 1, 1)) - 1).cast("long")
-    return sum((place(k) * F.lit(BASE ** (width - 1 - k)) for k in range(width)), F.lit(0).cast("long"))
+    place = lambda p, k: (F.instr(F.lit(SYMBOLS), F.substring(p, k + 1, 1)) - 1).cast("long")
+    return let(c, lambda p: sum((place(p, k) * F.lit(BASE ** (width - 1 - k)) for k in range(width)), F.lit(0).cast("long")))
+
+
+def _codec(name: str, classify: Callable[[Column], Column], packed: Callable[[Column], Column], restored: Callable[[Column], Column]) -> Codec:
+    """Texts that ``classify`` calls compressible are ``packed``; others are kept behind a mark."""
+    kept = lambda v: F.concat(F.lit("_"), F.coalesce(v, F.lit("")))
+    return Codec(
+        name, classify,
+        lambda c: let(c, lambda v: F.when(classify(v) == "compressible", packed(v)).otherwise(kept(v))),
+        lambda c: let(c, lambda p: F.when(p.startswith("_"), F.substring(p, 2, 1 << 30)).otherwise(restored(p))))
 
 
 def _checked(name: str, masked: str, size: int, width: int, digits: Callable[[Column], Column], mask: Callable[[Column], Column]) -> Codec:
     bare = lambda c: F.regexp_replace(c, "[^0-9]", "")
 
     def classify(c: Column) -> Column:
-        only = bare(c)
-        return (
-            F.when(c.isNull() | (c == ""), "empty_value").when(c.rlike(f"^[0-9]{{{size}}}$"), "format_unmasked")
-            .when(~c.rlike(masked), F.when(F.length(c) > 5, "format_mismatch").otherwise("length_wrong"))
-            .when(F.length(only) != size, "length_wrong").when(digits(only) != F.substring(only, size - 1, 2), "check_invalid").otherwise("compressible"))
-
-    encode = lambda c: F.when(classify(c) == "compressible", to_payload(F.substring(bare(c), 1, size - 2).cast("long"), width)).otherwise(F.concat(F.lit("_"), F.coalesce(c, F.lit(""))))
-
-    def decode(p: Column) -> Column:
-        body = F.lpad(from_payload(p, width).cast("string"), size - 2, "0")
-        return F.when(p.startswith("_"), F.substring(p, 2, 1 << 30)).otherwise(mask(F.concat(body, digits(body))))
+        checked = lambda only: F.when(F.length(only) != size, "length_wrong").when(digits(only) != F.substring(only, size - 1, 2), "check_invalid").otherwise("compressible")
+        return let(c, lambda v: (
+            F.when(v.isNull() | (v == ""), "empty_value").when(v.rlike(f"^[0-9]{{{size}}}$"), "format_unmasked")
+            .when(~v.rlike(masked), F.when(F.length(v) > 5, "format_mismatch").otherwise("length_wrong"))
+            .otherwise(let(bare(v), checked))))
 
-    return Codec(name, classify, encode, decode)
+    packed = lambda v: to_payload(F.substring(bare(v), 1, size - 2).cast("long"), width)
+    restored = lambda p: let(let(F.lpad(from_payload(p, width).cast("string"), size - 2, "0"), lambda body: F.concat(body, digits(body))), mask)
+    return _codec(name, classify, packed, restored)
 
 
 def _parts(c: Column, *pieces: tuple[int, int] | str) -> Column:
@@ -107,10 +119,7 @@ def unpad_ip(c: Column) -> Column:
     return F.concat_ws(".", *[F.substring(c, 3 * k + 1, 3).cast("int").cast("string") for k in range(4)])
 
 
-IPV4 = Codec(
-    "ipv4", _classify_ip,
-    lambda c: F.when(_classify_ip(c) == "compressible", to_payload(pad_ip(c).cast("long"), 7)).otherwise(F.concat(F.lit("_"), F.coalesce(c, F.lit("")))),
-    lambda p: F.when(p.startswith("_"), F.substring(p, 2, 1 << 30)).otherwise(unpad_ip(F.lpad(from_payload(p, 7).cast("string"), 12, "0"))))
+IPV4 = _codec("ipv4", lambda c: let(c, lambda v: _classify_ip(v)), lambda v: to_payload(pad_ip(v).cast("long"), 7), lambda p: let(F.lpad(from_payload(p, 7).cast("string"), 12, "0"), unpad_ip))
 
 CODECS = {c.name: c for c in (CPF, CNPJ, IPV4)}
 
@@ -124,18 +133,12 @@ def pattern_codec(name: str, pattern: str, groups: tuple[int, ...], joint: Calla
         return F.concat(*[F.regexp_extract(c, pattern, k + 1) for k in range(len(groups))])
 
     def back(p: Column) -> Column:
-        d, at, out = F.lpad(from_payload(p, width).cast("string"), total, "0"), 1, []
-        for g in groups:
-            out.append(F.substring(d, at, g))
-            at += g
-        return joint(out)
+        starts = [1 + sum(groups[:k]) for k in range(len(groups))]
+        number = F.lpad(from_payload(p, width).cast("string"), total, "0")
+        return let(number, lambda d: joint([F.substring(d, at, g) for at, g in zip(starts, groups)]))
 
     def classify(c: Column) -> Column:
-        fits = c.rlike(pattern)
-        code = to_payload(F.when(fits, digits(c)).otherwise("0").cast("long"), width)
-        return F.when(c.isNull() | (c == ""), "empty_value").when(~fits, "format_mismatch").when(back(code) != c, "round_trip").otherwise("compressible")
+        code = lambda v: to_payload(F.when(v.rlike(pattern), digits(v)).otherwise("0").cast("long"), width)
+        return let(c, lambda v: F.when(v.isNull() | (v == ""), "empty_value").when(~v.rlike(pattern), "format_mismatch").when(back(code(v)) != v, "round_trip").otherwise("compressible"))
 
-    return Codec(
-        name, classify,
-        lambda c: F.when(classify(c) == "compressible", to_payload(digits(c).cast("long"), width)).otherwise(F.concat(F.lit("_"), F.coalesce(c, F.lit("")))),
-        lambda p: F.when(p.startswith("_"), F.substring(p, 2, 1 << 30)).otherwise(back(p)))
+    return _codec(name, classify, lambda v: to_payload(digits(v).cast("long"), width), back)
