@@ -10,7 +10,10 @@ from pyspark.sql import types as T
 
 from millrace.functions.statistics import chi2_p_value
 from millrace.sources.catalog import Catalog
-from millrace.storage import materialize, ranked
+from millrace.storage import materialize, ranked, unused_name
+
+#: A sample of up to so many rows is the top of an order; a larger one is cut by rank.
+AT_ONCE = 100_000
 
 
 def draw(keys: list[str], seed: int = 42) -> Column:
@@ -23,7 +26,12 @@ def sample_exact(df: DataFrame, size: int | float, keys: list[str], seed: int =
     ``keys`` must tell rows apart."""
     if isinstance(size, float):
         size = round(size * df.count())
-    return df.orderBy(draw(keys, seed), *keys).limit(size)
+    order = [draw(keys, seed), *[F.col(f"`{k}`") for k in keys]]
+    if size <= AT_ONCE:
+        return df.orderBy(*order).limit(size)
+    # A limit this large would bring all of its rows into one task.
+    rank = unused_name(df, "__rank")
+    return ranked(df, order, rank).where(F.col(rank) < size).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def allocate(population: dict[object, int], size: int) -> dict[object, int]:

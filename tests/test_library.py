@@ -111,7 +111,7 @@ def test_text_functions(spark):
     a, b = F.col("a"), F.col("b")
     got = df.select(texts.common_prefix(a, b), texts.common_suffix(a, b), texts.fill_template(texts.template(a), texts.digit_groups(a)), texts.shift_digits(a, F.lit(1))).collect()
     assert [tuple(r) for r in got] == [(2, 0, "abc1x22", "abc1x23"), (0, 0, "", ""), (4, 4, "same", "same"), (0, 0, "#1", "#2")]
-    codes = spark.range(0, 9000, 7).select("id", texts.encode_index(F.col("id"), 2).alias("c")).select("id", "c", texts.decode_index(F.col("c"), 2).alias("back")).collect()
+    codes = spark.range(0, 94**2, 7).select("id", texts.encode_index(F.col("id"), 2).alias("c")).select("id", "c", texts.decode_index(F.col("c"), 2).alias("back")).collect()
     assert all(r["id"] == r["back"] and len(r["c"]) == 2 for r in codes) and texts.code_width(94) == 1 and texts.code_width(95) == 2
     assert spark.range(1).select(texts.escape_name(F.lit("!a,b=c:d\\e"))).first()[0] == "\\!a\\,b\\=c\\:d\\\\e"
 
@@ -157,10 +157,13 @@ def test_keys_and_alerts(spark):
     assert profile.report(catalog.STAR, {"t": t}).count() >= 2
 
 
-def test_sampling(spark):
+def test_sampling(spark, monkeypatch):
     df = spark.createDataFrame([(k, ["a", "b", "c", None][min(k % 10, 3)] if k % 10 < 4 else "a") for k in range(200)], "k int, g string")
     assert sampling.sample_exact(df, 30, ["k"]).count() == 30 and sampling.sample_exact(df, 0.25, ["k"]).count() == 50
     assert sampling.sample_exact(df, 0, ["k"]).count() == 0 and sampling.sample_exact(df, 900, ["k"]).count() == 200
+    top = {r["k"] for r in sampling.sample_exact(df, 30, ["k"]).collect()}
+    monkeypatch.setattr(sampling, "AT_ONCE", 10)
+    assert {r["k"] for r in sampling.sample_exact(df, 30, ["k"]).collect()} == top and sampling.sample_exact(df, 900, ["k"]).count() == 200
     groups = Counter(r["g"] for r in sampling.sample_stratified(df, 20, "g", ["k"]).collect())
     assert groups == Counter({"a": 14, "b": 2, "c": 2, None: 2})
     assert sampling.allocate({"x": 1, "y": 1, "z": 1}, 1) == {"x": 1, "y": 1, "z": 1}
