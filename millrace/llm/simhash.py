@@ -12,8 +12,9 @@ compared exactly.  A cell gives a spanning forest of its links, not all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
-from math import acos, comb, log, pi
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -218,136 +219,143 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str =
     return lookup(fps, table, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
 
 
-# Similarity instead of a fixed number of bits: wide fingerprints, of which bits are sampled.
+# Similarity of sets instead of a number of bits: least hashes give candidates, the sets decide.
 
-#: 64-bit words of a wide fingerprint.
-WORDS_WIDE = 16
+#: Least hashes that a table's cells are made of: sets of similarity s share a cell of it with probability s ** LEAST.
+LEAST = 8
 #: Of pairs just as similar as asked for, the share that no table brings together.
-MISSED = 0.01
+MISSED = 0.001
+#: Documents, and shingles, that candidates' blocks hold; two blocks meet in a task.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 
 
-def bit_difference(similarity: float) -> float:
-    """The share of bits in which two fingerprints differ on average whose sets of shingles,
-    equally large, have this Jaccard similarity."""
-    return acos(2 * similarity / (1 + similarity)) / pi
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.array(shingle_hashes((text or "").encode(), words), np.uint64))
 
 
-def wide_fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest, node, wide): digest is a hash of the text, node one of the wide fingerprint."""
+def table_count(similarity: float) -> int:
+    """As many tables as bring together all but MISSED of the pairs at ``similarity``."""
+    return int(np.ceil(log(MISSED) / log(1 - similarity ** LEAST))) if similarity < 1 else 1
+
+
+def least_cells(sets: list[np.ndarray], tables: int) -> np.ndarray:
+    """For each set, none of them empty, its cell in each table: a hash of LEAST least hashes."""
+    factors = np.random.default_rng(SEED).integers(1, 1 << 63, (tables, LEAST), np.uint64) * np.uint64(2) + np.uint64(1)
+    hashes = np.concatenate(sets)
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    out = np.empty((len(sets), tables), np.uint64)
+    for t, own in enumerate(factors):
+        key = np.full(len(sets), t + 1, np.uint64)
+        for f in own:
+            key = (key ^ np.minimum.reduceat(hashes * f, starts)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out[:, t] = key
+    return out
+
+
+def shingle_nodes(docs: DataFrame, words: int, tables: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, digest, node, n, cells): digest is a hash of the text, node one of its set of n
+    shingles, cells has its cell in each table (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = np.random.default_rng(SEED).integers(1, 1 << 63, WORDS_WIDE, np.uint64) * np.uint64(2) + np.uint64(1)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                each = [shingle_hashes((t or "").encode(), words) for t in b.column(2).to_pylist()]
-                lengths = np.fromiter(map(len, each), np.int64, len(each))
-                hashes = np.fromiter((h for e in each for h in e), np.uint64, int(lengths.sum()))
-                wide = np.zeros((len(each), WORDS_WIDE), "<u8")
-                for k, f in enumerate(factors):
-                    h = hashes * f
-                    h ^= h >> np.uint64(32)
-                    wide[:, k] = majority(h * f, lengths)
-                rows = [w.tobytes() for w in wide]
-                node = np.array([xxhash.xxh64_intdigest(r, SEED) for r in rows], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(rows, pa.binary())], names=["id", "digest", "node", "wide"])
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
+                sets = [shingle_set(t, words) for t in b.column(2).to_pylist()]
+                n = np.array([len(s) for s in sets], np.int64)
+                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                full = [s for s in sets if len(s)]
+                flat = least_cells(full, tables).reshape(-1).view(np.int64) if full else np.zeros(0, np.int64)
+                ends = np.r_[0, np.cumsum((n > 0) * tables)].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "digest", "node", "n", "cells"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`"), F.xxhash64(text), text).mapInArrow(run, f"id {kind}, digest bigint, node bigint, wide binary")
-
-
-def _tables(distinct: int, similarity: float) -> np.ndarray:
-    """For each table the bits that it samples: so many that a cell has about four random rows,
-    and as many tables as bring together all but MISSED of the pairs at ``similarity``."""
-    k = max(int(np.ceil(np.log2(max(distinct, 2) / 4))), 8)
-    n = int(np.ceil(log(MISSED) / log(1 - (1 - bit_difference(similarity)) ** k)))
-    rng = np.random.default_rng(SEED)
-    return np.stack([rng.choice(64 * WORDS_WIDE, k, replace=False) for _ in range(n)])
-
-
-def _cell_pairs(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates among rows sorted by cell and node: each row with the first of its cell that is
-    within ``radius`` and with no other one, so a group gives a star, not all pairs; and as the
-    smallest node leads wherever it is, tables agree on most of them."""
-    a, b = [], []
-    while len(cell) > 1:
-        heads = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        head = np.repeat(heads, np.diff(np.r_[heads, len(cell)]))
-        near = np.bitwise_count(fp ^ fp[head]) <= radius
-        own = np.arange(len(cell)) == head
-        at = np.flatnonzero(near & ~own)
-        a.append(node[head[at]])
-        b.append(node[at])
-        rest = ~near & ~own
-        cell, node, fp = cell[rest], node[rest], fp[rest]
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return join(a), join(b)
-
-
-def similar_nodes(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between rows of ``nodes`` (node, wide, distinct) whose fingerprints say that
-    they are at least so similar."""
-    spark = nodes.sparkSession
-    tables = _tables(nodes.count(), similarity)
-    share = bit_difference(similarity)
-    radius = int(np.ceil(64 * share + 3 * np.sqrt(64 * share * (1 - share))))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            wide = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            bits = np.unpackbits(wide, axis=1, bitorder="little").T.copy()
-            fp = np.ascontiguousarray(wide[:, :8]).view("<i8").reshape(-1)
-            for t, own in enumerate(tables):
-                key = np.full(b.num_rows, t + 1, np.uint64)
-                for k in own.tolist():
-                    key = (key << np.uint64(1)) | bits[k]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0), pa.array(fp)], names=["cell", "node", "fp"])
-
-    rows = nodes.select("node", "wide").mapInArrow(deal, "cell bigint, node bigint, fp bigint")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select(F.col(f"`{id_col}`"), F.xxhash64(text), text).mapInArrow(run, f"id {kind}, digest bigint, node bigint, n bigint, cells array<bigint>")
+
+
+def link_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of ``sets``, none of them empty, whose Jaccard similarity is ``similarity`` or more.
+
+    A set meets all that aren't reached yet, so a group of copies costs a row each; only sets
+    that aren't linked meet all others."""
+    p, q = Fraction(str(similarity)).as_integer_ratio()
+    left = np.argsort([len(s) for s in sets], kind="stable")
+    size = np.array([len(s) for s in sets], np.int64)
+    every, flat = np.unique(np.concatenate([sets[k] for k in left]), return_inverse=True)
+    inside = np.zeros(len(every), np.int64)
+    links, reached = [], []
+    while len(left):
+        ends = np.cumsum(size[left])
+        if reached:
+            k, own = reached.pop()
+        else:
+            k, own, left, flat, ends = int(left[0]), flat[:ends[0]], left[1:], flat[ends[0]:], ends[1:] - ends[0]
+        n = size[left]
+        lo, hi = np.searchsorted(n * q, p * size[k]), np.searchsorted(n * p, q * size[k], "right")
+        if lo >= hi:
+            continue
+        starts = ends - n
+        inside[own] = 1
+        both = np.add.reduceat(inside[flat[starts[lo]:ends[hi - 1]]], starts[lo:hi] - starts[lo])
+        inside[own] = 0
+        near = lo + np.flatnonzero(both * q >= p * (size[k] + n[lo:hi] - both))
+        if len(near):
+            links += [(k, x) for x in left[near].tolist()]
+            reached += [(x, flat[s:e]) for x, s, e in zip(left[near].tolist(), starts[near].tolist(), ends[near].tolist())]
+            stays = np.ones(len(left), bool)
+            stays[near] = False
+            left, flat = left[stays], flat[np.repeat(stays, n)]
+    return links
+
+
+def candidate_groups(found: DataFrame) -> DataFrame:
+    """(node, label): the nodes of ``found`` that share a cell, directly or through others.
+
+    A cell gives a star around its smallest node.  It is no more than a candidate: sets with
+    one label meet later, whether they share a cell or not."""
+    rows = found.select("node", F.explode("cells").alias("cell"))
+    heads = rows.groupBy("cell").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.count(F.lit(1)).alias("rows")).where("head <> last")
+    heads = materialize(heads.select("cell", "head", "rows"), "heads")
+    return components(lookup(rows, heads, "cell", "rows").select(F.col("head").alias("a"), F.col("node").alias("b")))
+
+
+def similar_sets(docs: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes: all whose sets are so similar and that have one label are connected
+    by them, and none that isn't reached through such pairs.  ``docs`` has (id, digest, text),
+    ``groups`` (node, label, id, digest, n), whose first texts these are.
+
+    A label with more than a block's documents or shingles is dealt to blocks that meet two by two."""
+    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    sized = materialize(sizes.select("label", "members", blocks.alias("m")), "sizes")
+    dealt = lookup(groups, sized, "label", "members").withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    dealt = dealt.select("node", "label", "id", "digest", "own", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other")).select(
+        "node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("id").alias("own_id"), F.col("digest").alias("own_digest"))
+    text = docs.join(dealt, (F.col("digest") == F.col("own_digest")) & F.col("id").eqNullSafe(F.col("own_id"))).select("label", "i", "j", "node", "text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        rows_held = 0
-
-        def close(last: bool) -> Iterator[pa.RecordBatch]:
-            # The last cell may go on in the next batch, unless it is so large that its rows so far are taken by themselves.
-            nonlocal held, rows_held
-            cell, node, fp = (np.concatenate([h[k] for h in held]) for k in range(3))
-            end = len(cell) if last else int(np.searchsorted(cell, cell[-1]))
-            if not end and len(cell) >= CELL * 16:
-                end = len(cell)
-            if end:
-                a, b = _cell_pairs(cell[:end], node[:end], fp[:end].view(np.uint64), radius)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-            held, rows_held = ([[cell[end:], node[end:], fp[end:]]], len(cell) - end) if end < len(cell) else ([], 0)
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append([batch.column(k).to_numpy() for k in range(3)])
-                rows_held += batch.num_rows
-                if rows_held >= CELL * 16:
-                    yield from close(False)
-        if held:
-            yield from close(True)
+        key, held = None, {}
 
-    # Range-partitioned by cell, then node: a cell that holds very many rows is cut where a part
-    # ends; rows on either side meet in the cells of other tables.
-    dealt = rows.repartitionByRange(parts, "cell", "node").sortWithinPartitions("cell", "node")
-    pairs = materialize(dealt.mapInArrow(meet, "a bigint, b bigint").distinct(), "pairs")
-    counted = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(nodes.select(F.col("node").alias("a"), F.col("wide").alias("wa")), "a"), "counted")
-    both = lookup(pairs, counted, "a", "n").join(nodes.select(F.col("node").alias("b"), F.col("wide").alias("wb")), "b")
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                nodes = list(held)
+                links = link_sets(list(held.values()), similarity)
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array([nodes[x] for x in ends], pa.int64()) for ends in zip(*links)], names=["a", "b"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = int(64 * WORDS_WIDE * share)
         for b in batches:
-            wa, wb = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u8").reshape(b.num_rows, WORDS_WIDE) for k in (2, 3))
-            good = np.bitwise_count(wa ^ wb).sum(1) <= most
-            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(good)) for k in (0, 1)], names=["a", "b"])
+            for *now, node, t in zip(*(b.column(k).to_pylist() for k in range(5))):
+                if now != key:
+                    yield from close()
+                    key, held = now, {}
+                if node not in held:  # a row can be there twice
+                    held[node] = shingle_set(t, words)
+        yield from close()
 
-    return both.select("a", "b", "wa", "wb").mapInArrow(verify, "a bigint, b bigint")
+    return text.repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(meet, "a bigint, b bigint")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,17 +363,19 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     directly or through others, the one with the smallest id stays (null last).
 
     Linked are documents whose sets of ``words``-word shingles have a Jaccard similarity of
-    ``similarity`` or more, as estimated from fingerprints of 64 * WORDS_WIDE bits (within
-    about 0.03).  Candidates come from tables of sampled bits that all but MISSED of pairs
-    just so similar meet in.  Texts of fewer words are one shingle, empty and null ones are
-    alike; of repeated rows one stays."""
-    found = materialize(wide_fingerprints(docs, words, id_col, text_col), "wide")
+    ``similarity`` or more, by the sets of 64-bit hashes themselves.  Candidates come from
+    tables of least hashes that all but MISSED of pairs just so similar meet in, and all
+    that are reached from each other through tables are compared.  Texts of fewer words are
+    one shingle, empty and null ones are alike; of repeated rows one stays."""
+    found = materialize(shingle_nodes(docs, words, table_count(similarity), id_col, text_col), "shingles")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first")
-    nodes = materialize(found.groupBy("node").agg(F.first("wide").alias("wide"), first), "nodes")
-    labels = components(similar_nodes(nodes.select("node", "wide"), similarity))
+    nodes = materialize(found.groupBy("node").agg(F.first("n").alias("n"), first), "nodes")
+    groups = materialize(candidate_groups(found).join(nodes, "node").select("node", "label", "first.id", "first.digest", "n"), "groups")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    labels = components(similar_sets(texts, groups, words, similarity))
     own = nodes.join(labels, "node", "left").select(F.coalesce("label", "node").alias("label"), "first")
     chosen = own.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.id").alias("id"), F.col("first.digest").alias("digest"))
     digest = unused(docs, "__digest")
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     kept = stay(docs.withColumn(digest, F.xxhash64(text)), id_col, digest, materialize(chosen, "chosen"))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
