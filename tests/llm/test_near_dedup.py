@@ -41,3 +41,13 @@ def test_copies_in_a_family_of_templates(make_docs):
     expected = survivors(rows)
     assert 60 < len(expected) < 140
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(make_docs(rows)).collect()} == expected
+
+
+def test_a_repeated_line_counts_once(make_docs):
+    rng = random.Random(12)
+    line = "this very line is in all of these texts again and again "
+    rows = [(k, line * 60 + " ".join(texts(rng, 60))) for k in range(10)]  # alike with repeats, sets are not
+    own = " ".join(texts(rng, 100))
+    passage = " ".join(own.split()[20:40])
+    rows += [(20, own), (21, own + f" {passage}" * 30)]  # the other way around
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(make_docs(rows)).collect()} == survivors(rows) == {*range(10), 20}
