@@ -51,3 +51,17 @@ def test_a_repeated_line_counts_once(make_docs):
     passage = " ".join(own.split()[20:40])
     rows += [(20, own), (21, own + f" {passage}" * 30)]  # the other way around
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(make_docs(rows)).collect()} == survivors(rows) == {*range(10), 20}
+
+
+def test_short_texts_and_exactly_four_fifths(make_docs):
+    rng = random.Random(13)
+    rows = []
+    for n in [8, 9, 10, 12, 20, 40] * 15:
+        own = texts(rng, n)
+        rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join([*own, "more"]))]
+    for _ in range(60):
+        own = texts(rng, 404)  # 400 shingles; 100 at the end make it 4 of 5, 101 less than that
+        for more in (100, 101):
+            own_too = texts(rng, 404)
+            rows += [(len(rows), " ".join(own_too)), (len(rows) + 1, " ".join(own_too + texts(rng, more)))]
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(make_docs(rows)).collect()} == survivors(rows)
