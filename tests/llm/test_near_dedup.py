@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from millrace.llm import simhash
 
 
@@ -65,3 +66,17 @@ def test_short_texts_and_exactly_four_fifths(make_docs):
             own_too = texts(rng, 404)
             rows += [(len(rows), " ".join(own_too)), (len(rows) + 1, " ".join(own_too + texts(rng, more)))]
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(make_docs(rows)).collect()} == survivors(rows)
+
+
+@pytest.mark.parametrize("bound", ["BLOCK", "BLOCK_SHINGLES"])
+def test_a_chain_of_copies_across_blocks(make_docs, monkeypatch, bound):
+    monkeypatch.setattr(simhash, bound, {"BLOCK": 4, "BLOCK_SHINGLES": 500}[bound])
+    rng = random.Random(14)
+    own = texts(rng, 200)
+    rows = []
+    for k in range(60):  # each like the next; the first and the last have nothing in common
+        own = own[10:] + texts(rng, 10)
+        rows.append((k, " ".join(own)))
+    rng.shuffle(rows)
+    assert survivors(rows) == {0}
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(make_docs(rows)).collect()} == {0}
