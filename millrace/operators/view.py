@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import numeric, stringify
-from millrace.storage import materialize, with_previous
+from millrace.operators.runs import value_runs
+from millrace.storage import materialize, ranked, unused_name
 
 
 class TableView:
@@ -26,9 +27,14 @@ class TableView:
             raise KeyError(name)
         return name
 
-    def where(self, name: str, value: object = None, pred: Callable[[Column], Column] | None = None) -> TableView:
-        """Rows where ``name`` is ``value`` (null matches nothing) or ``pred`` of it holds."""
+    def where(self, name: str, value: object = None, pred: Callable[[Column], Column] | None = None, test: Callable[[str], bool] | None = None) -> TableView:
+        """Rows where ``name`` is ``value`` (null matches nothing), ``pred`` of the column holds, or ``test``, a
+        Python function, holds of its text (null as the empty text).  ``pred`` stays in the JVM and can be pushed
+        to the scan; ``test`` sees Arrow batches in Python workers."""
         c = F.col(f"`{self._known(name)}`")
+        if test:
+            holds = F.pandas_udf(lambda s: s.map(test).astype(bool), "boolean")
+            return TableView(self.df.where(holds(stringify(c))), self.order)
         return TableView(self.df.where(pred(c) if pred else c == F.lit(value)), self.order)
 
     def select(self, names: list[str] | None = None) -> DataFrame:
@@ -77,13 +83,32 @@ class TableView:
                 raise ValueError(f"{name} isn't contiguous: {again[0]!r} comes back")
         return runs.select("value", "start", (F.col("start") + F.col("length")).alias("end"))
 
-    def agg_by(self, key: str, name: str, op: str) -> DataFrame:
-        """(key, op) for each value of ``key``."""
+    def agg_by(self, key: str, name: str, op: str, contiguous: bool = False) -> DataFrame:
+        """(key, op) for each value of ``key``.  With ``contiguous`` a value whose rows aren't together in the
+        view's order raises, as in ``group_ranges``."""
         self._known(key)
         if op not in ("count", "sum", "min", "max", "avg"):
             raise KeyError(op)
+        if contiguous:
+            self.group_ranges(key)
         return self.df.groupBy(f"`{key}`").agg(_op(op, numeric(self.df, self._known(name))).alias(op))
 
+    def without_names(self) -> DataFrame:
+        """The columns named by their place: 0, 1, ..."""
+        return self.df.toDF(*map(str, range(len(self.df.columns))))
+
+    def at(self, positions: DataFrame, position: str = "_pos") -> DataFrame:
+        """The rows at the 0-based ``positions`` of the view's order."""
+        if not self.order:
+            raise ValueError("positions need an order")
+        mine = unused_name(self.df, "__pos")
+        rows = ranked(self.df, [F.col(f"`{o}`") for o in self.order], mine)
+        return rows.join(positions.select(F.col(position).alias("__at")).distinct(), F.col(mine) == F.col("__at"), "left_semi").drop(mine)
+
+    def column_bytes(self, name: str) -> int:
+        """Compressed bytes of a column in the Parquet files behind the view, from their footers."""
+        return stored_bytes(self.df).get(self._known(name), 0)
+
     def report(self) -> dict[str, list[str]]:
         """What the plan reads: the columns of its scans and the filters that reach them."""
         plan = self.df._jdf.queryExecution().executedPlan().toString()
@@ -93,20 +118,33 @@ class TableView:
         }
 
 
-def _op(op: str, c: Column) -> Column:
-    return {"count": F.count(F.lit(1)), "sum": F.coalesce(F.sum(c), F.lit(0.0)), "min": F.min(c), "max": F.max(c), "avg": F.avg(c)}[op]
+def stored_bytes(df: DataFrame) -> dict[str, int]:
+    """For each column, the compressed bytes in the Parquet files that ``df`` reads; fields of a column add up.
+    Only footers are read, one after the other: meant for a look at a table, not for a million files."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out: dict[str, int] = {}
+    for name in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, conf))
+        try:
+            for block in reader.getFooter().getBlocks():
+                for column in block.getColumns():
+                    top = column.getPath().toArray()[0]
+                    out[top] = out.get(top, 0) + column.getTotalSize()
+        finally:
+            reader.close()
+    return out
+
+
+def side_by_side(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -> DataFrame:
+    """Row i of ``a`` beside row i of ``b``, each under its order; where one is longer, the other's columns are null."""
+    left, right = (ranked(df, [F.col(f"`{o}`") for o in o_], "_pos") for df, o_ in ((a, order_a), (b, order_b)))
+    return left.join(right, "_pos", "full")
 
 
-def value_runs(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """(start, value, length): runs of equal neighbours under ``order``."""
-    c = f"`{name}`"
-    seen = with_previous(df.select(F.col(c).alias("value"), *[F.col(f"`{o}`").alias(f"o{k}") for k, o in enumerate(order)]), [F.col(f"o{k}") for k in range(len(order))], ["value"])
-    head = (F.col("_pos") == 0) | ~F.col("value").eqNullSafe(F.col("prev_value"))
-    heads = seen.where(head).select("_pos", "value")
-    n = seen.count()
-    # The end of a run is the start of the next one.
-    ends = with_previous(heads, [F.col("_pos").desc()], ["_pos"], position="rank", prefix="next")
-    return ends.select(F.col("_pos").alias("start"), "value", (F.coalesce("next_pos", F.lit(n)) - F.col("_pos")).alias("length"))
+def _op(op: str, c: Column) -> Column:
+    return {"count": F.count(F.lit(1)), "sum": F.coalesce(F.sum(c), F.lit(0.0)), "min": F.min(c), "max": F.max(c), "avg": F.avg(c)}[op]
 
 
 def sort_as_text(df: DataFrame, name: str, *ties: str) -> DataFrame:
