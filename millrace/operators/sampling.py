@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from millrace.functions.statistics import chi2_p_value
+from millrace.functions.statistics import chi2_p_value, wilson
 from millrace.sources.catalog import Catalog
 from millrace.storage import materialize, ranked, unused_name
 
@@ -34,37 +33,53 @@ def sample_exact(df: DataFrame, size: int | float, keys: list[str], seed: int =
     return ranked(df, order, rank).where(F.col(rank) < size).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def allocate(population: dict[object, int], size: int) -> dict[object, int]:
-    """Rows for each group in proportion, at least 1 each and at most what it has; what rounding
-    leaves over goes to the largest groups, one row at a time, at most twice round."""
-    total = sum(population.values())
-    order = sorted(population, key=lambda k: (k is None, str(k)))
-    share = {k: min(max(round(size * population[k] / total), 1), population[k]) for k in order} if total else {}
-    rest = size - sum(share.values())
-    walk = sorted(order, key=lambda k: -population[k])
-    for k in walk * 2:
-        if rest > 0 and share[k] < population[k]:
-            share[k], rest = share[k] + 1, rest - 1
-        elif rest < 0 and share[k] > 1:
-            share[k], rest = share[k] - 1, rest + 1
-    return share
+def allocate(groups: DataFrame, size: int) -> DataFrame:
+    """``groups`` (value, n) with quota: rows for each in proportion, rounded half to even, at least 1 each and at most
+    what it has; what rounding leaves over goes to, or comes from, the largest groups, one row at a time, at most
+    twice round.  Groups can be as many as they like: they are ranked, not gathered."""
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    share = F.least(F.greatest(F.bround(F.lit(size) * F.col("n") / F.lit(total or 1)).cast("long"), F.lit(1)), F.col("n"))
+    now = materialize(groups.withColumn("quota", share), "quota")
+    rest = size - (now.agg(F.sum("quota")).first()[0] or 0)
+    order = [F.col("n").desc(), F.col("value").cast("string").asc_nulls_last()]
+    for _ in range(2):
+        able = (F.col("quota") < F.col("n")) if rest > 0 else (F.col("quota") > 1)
+        m = now.where(able).count() if rest else 0
+        if not m:
+            break
+        step = 1 if rest > 0 else -1
+        moved = ranked(now.where(able), order, "__rank")
+        changed = moved.withColumn("quota", F.col("quota") + F.when(F.col("__rank") < abs(rest), step).otherwise(0)).drop("__rank")
+        now = materialize(changed.unionByName(now.where(~able)), "quota")
+        rest -= step * min(abs(rest), m)
+    return now
 
 
 def sample_stratified(df: DataFrame, size: int | float, by: str, keys: list[str], seed: int = 42) -> DataFrame:
-    """A sample of ``size`` rows in which groups of ``by`` have their share (``allocate``).  Groups are
-    counted on the driver; they are taken to be few."""
-    spark = df.sparkSession
-    population = {r[0]: r[1] for r in df.groupBy(F.col(f"`{by}`")).count().collect()}
+    """A sample of ``size`` rows, or that share of them, in which groups of ``by`` have their share (``allocate``).  ``keys`` must tell rows apart.
+
+    Rows are ranked by group and draw in one range partitioning, so no task holds a group, and cut by
+    the group's first rank and quota."""
+    counts = materialize(df.groupBy(F.col(f"`{by}`").alias("value")).agg(F.count(F.lit(1)).alias("n")), "groups")
     if isinstance(size, float):
-        size = max(1, round(size * sum(population.values())))
-    share = allocate(population, size)
-    kind = df.schema[by].dataType
-    quota = spark.createDataFrame(list(share.items()), T.StructType([T.StructField("__group", kind), T.StructField("__quota", T.LongType())]))
-    most = max(share.values(), default=0)
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(draw(keys, seed), *keys))
-    # The constant bound lets Spark keep only that many rows of a group before the shuffle.
-    first = df.withColumn("__rank", rank).where(F.col("__rank") <= most)
-    return first.join(F.broadcast(quota), F.col(f"`{by}`").eqNullSafe(F.col("__group"))).where("__rank <= __quota").select(*[F.col(f"`{c}`") for c in df.columns])
+        size = max(1, round(size * (counts.agg(F.sum("n")).first()[0] or 0)))
+    quota = allocate(counts, size)
+    text = F.col("value").cast("string")
+    order = [F.col("value").isNull(), text]
+    starts = ranked(quota, order, "__k", {"__start": "n"}).select(F.col("value").alias("__group"), "__start", "quota")
+    starts = materialize(starts, "starts")
+    few = starts.count() <= AT_ONCE
+    group = F.col(f"`{by}`").cast("string")
+    rank = unused_name(df, "__rank")
+    placed = ranked(df, [F.col(f"`{by}`").isNull(), group, draw(keys, seed), *[F.col(f"`{k}`") for k in keys]], rank)
+    both = placed.join(F.broadcast(starts) if few else starts, F.col(f"`{by}`").eqNullSafe(F.col("__group")))
+    return both.where(F.col(rank) - F.col("__start") < F.col("quota")).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def grouped_order(df: DataFrame, by: str, *ties: str) -> DataFrame:
+    """All rows, groups of ``by`` together in the order of their texts, null last."""
+    c = F.col(f"`{by}`")
+    return df.orderBy(c.isNull(), c.cast("string"), *ties)
 
 
 def keep_referenced(tables: dict[str, DataFrame], catalog: Catalog, start: str) -> dict[str, DataFrame]:
@@ -86,10 +101,11 @@ def keep_referenced(tables: dict[str, DataFrame], catalog: Catalog, start: str)
     return {t: out.get(t, tables[t]) for t in tables}
 
 
-def sample_with_references(tables: dict[str, DataFrame], catalog: Catalog, size: int | float, keys: list[str], seed: int = 42) -> dict[str, DataFrame]:
-    """A sample of the fact table and the rows of other tables that it needs."""
+def sample_with_references(tables: dict[str, DataFrame], catalog: Catalog, size: int | float, keys: list[str], seed: int = 42, stratify: str | None = None) -> dict[str, DataFrame]:
+    """A sample of the fact table, by shares of ``stratify`` if given, and the rows of other tables that it needs."""
     fact = catalog.fact(tables)
-    return keep_referenced({**tables, fact: sample_exact(tables[fact], size, keys, seed)}, catalog, fact)
+    picked = sample_stratified(tables[fact], size, stratify, keys, seed) if stratify else sample_exact(tables[fact], size, keys, seed)
+    return keep_referenced({**tables, fact: picked}, catalog, fact)
 
 
 def rarity(df: DataFrame, names: list[str], score: str = "rarity") -> DataFrame:
@@ -137,6 +153,19 @@ def distances(population: DataFrame, sample: DataFrame, by: str) -> DataFrame:
         F.count_if(x > 0).alias("groups"), F.bool_or(expected < 5).alias("low_expected"))
 
 
+def group_report(population: DataFrame, sample: DataFrame, by: str, confidence: float = 0.95) -> DataFrame:
+    """For each group of the population: its rows and share there and in the sample, the Wilson interval of the
+    sample's share, and the difference in points."""
+    p, q = shares(population, by), shares(sample, by)
+    n = sample.count()
+    both = p.alias("p").join(q.alias("q"), F.col("p.value").eqNullSafe(F.col("q.value")), "left")
+    m = F.coalesce("q.n", F.lit(0))
+    w = wilson(m, F.lit(n), confidence)
+    return both.select(
+        F.col("p.value").alias("value"), F.col("p.n").alias("pop_n"), F.col("p.share").alias("pop_share"), m.alias("sample_n"), F.coalesce("q.share", F.lit(0.0)).alias("sample_share"),
+        F.round(w["low"], 4).alias("low"), F.round(w["high"], 4).alias("high"), F.round(100 * (F.coalesce("q.share", F.lit(0.0)) - F.col("p.share")), 2).alias("diff_pp"))
+
+
 def fit_p_value(population: DataFrame, sample: DataFrame, by: str) -> float:
     """The p-value of the chi-square test that the sample has the population's shares."""
     row = distances(population, sample, by).first()

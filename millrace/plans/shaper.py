@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from millrace.operators.flatten import star_flatten
-from millrace.operators.sampling import distances, keep_referenced, rarity_band, sample_exact, sample_stratified
+from millrace.operators.sampling import distances, fit_p_value, group_report, grouped_order, keep_referenced, rarity_band, sample_exact, sample_stratified
 from millrace.operators.view import reorder
 from millrace.sources.catalog import Catalog
 
@@ -54,12 +56,34 @@ class ShapeRequest:
 
 @dataclass
 class Shaped:
+    """What came out: tables, what was done, and the tables that went in."""
+
     tables: Tables
     trace: list[str] = field(default_factory=list)
+    before: Tables = field(default_factory=dict)
+    request: ShapeRequest | None = None
+
+    @property
+    def names(self) -> list[str]:
+        return list(self.tables)
 
     def counts(self) -> dict[str, int]:
         return {t: df.count() for t, df in self.tables.items()}
 
+    def summary(self) -> DataFrame:
+        """(table, before, after, kept): rows of each table that came out, before and after, and the share kept."""
+        out = []
+        for t, df in self.tables.items():
+            was = self.before.get(t, df).agg(F.count(F.lit(1)).alias("before"))
+            now = df.agg(F.count(F.lit(1)).alias("after"))
+            out.append(was.crossJoin(F.broadcast(now)).select(F.lit(t).alias("table"), "before", "after", F.when(F.col("before") > 0, F.col("after") / F.col("before")).alias("kept")))  # one row each
+        return reduce(DataFrame.unionByName, out)
+
+    def metrics(self, table: str, by: str) -> dict[str, object]:
+        """How well what is left of a table represents it: distances, p-value and a report of the groups."""
+        old, new = self.before[table], self.tables[table]
+        return {**distances(old, new, by).first().asDict(), "p_value": fit_p_value(old, new, by), "groups": group_report(old, new, by)}
+
 
 Step = Callable[[Tables, Catalog, ShapeRequest, list[str]], Tables]
 STEPS: dict[str, Step] = {}
@@ -99,14 +123,20 @@ def _rarity(tables: Tables, catalog: Catalog, r: ShapeRequest, trace: list[str])
 
 
 def _rows(tables: Tables, catalog: Catalog, r: ShapeRequest, trace: list[str]) -> Tables:
-    if r.volume is None:
-        return tables
     t = _main(tables, catalog)
     df = tables[t]
+    if r.volume is None:
+        if not r.stratify or r.stratify not in df.columns:
+            trace += [f"{t} has no column {r.stratify}"] * bool(r.stratify)
+            return keep_referenced(tables, catalog, t) if r.references else tables
+        trace.append(f"grouped {t} by {r.stratify}")  # all rows, in the order of the groups
+        out = {**tables, t: grouped_order(df, r.stratify, *[c for c in df.columns if c != r.stratify])}
+        return keep_referenced(out, catalog, t) if r.references else out
     if r.stratify and r.stratify in df.columns:
         picked = sample_stratified(df, r.volume, r.stratify, df.columns, r.seed)
         trace.append(f"stratified {t} by {r.stratify}")
     else:
+        trace += [f"{t} has no column {r.stratify}"] * bool(r.stratify)
         picked = sample_exact(df, r.volume, df.columns, r.seed)
     out = {**tables, t: picked}
     if r.references:
@@ -129,10 +159,11 @@ def shape(tables: Tables, catalog: Catalog, request: ShapeRequest) -> Shaped:
     if wrong := request.problems():
         raise ValueError("; ".join(wrong))
     trace: list[str] = []
+    before = tables
     for name, step in STEPS.items():
         tables = step(tables, catalog, request, trace)
         trace.append(name)
-    return Shaped(tables, trace)
+    return Shaped(tables, trace, before, request)
 
 
 def representativeness(before: DataFrame, after: DataFrame, columns: list[str]) -> dict[str, DataFrame]:

@@ -184,7 +184,7 @@ def accuracy_tier(predicted: Column, truth: Column) -> Column:
 
 def last_number(c: Column) -> Column:
     """The last number in a text, as double."""
-    return F.element_at(F.regexp_extract_all(c, F.lit(r"(-?[0-9]+(?:\.[0-9]+)?)"), F.lit(1)), -1).cast("double")
+    return F.try_element_at(F.regexp_extract_all(c, F.lit(r"(-?[0-9]+(?:\.[0-9]+)?)"), F.lit(1)), F.lit(-1)).cast("double")
 
 
 def first_by_key(df: DataFrame, keys: list[str], order: str, last: bool = False) -> DataFrame:
