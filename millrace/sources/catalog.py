@@ -56,6 +56,94 @@ STAR = Catalog(
 )
 
 
+#: How types are written in the statements that make a table.
+_SQL_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP", "date": "DATE", "boolean": "BOOLEAN"}
+
+
+@dataclass(frozen=True)
+class Dataset:
+    """The tables of a folder under a catalog: their names, columns, keys, sizes and rows."""
+
+    spark: SparkSession
+    folder: str
+    catalog: Catalog
+
+    @property
+    def tables(self) -> list[str]:
+        known = [*self.catalog.keys, *(k.table for k in self.catalog.foreign), *(t for ts in self.catalog.levels.values() for t in ts)]
+        return list(dict.fromkeys(known))
+
+    def frame(self, table: str) -> DataFrame:
+        if table not in self.tables:
+            raise KeyError(table)
+        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+
+    def schema(self, table: str) -> dict[str, str]:
+        return dict(self.frame(table).dtypes)
+
+    def primary_key(self, table: str) -> list[str]:
+        return [self.catalog.keys[table]] if table in self.catalog.keys else []
+
+    def foreign_keys(self, table: str) -> dict[str, str]:
+        return {k.column: f"{k.parent}.{k.parent_column}" for k in self.catalog.outgoing(table)}
+
+    def row_count(self, table: str) -> int:
+        return self.frame(table).count()
+
+    def rows(self, table: str, limit: int | None = None) -> DataFrame:
+        """The rows of a table, or the first ``limit`` by its key (by all columns where it has none)."""
+        df = self.frame(table)
+        return df if limit is None else df.orderBy(*(self.primary_key(table) or df.columns)).limit(limit)
+
+    def summary(self) -> DataFrame:
+        """(table, n_rows, n_columns, key, refers_to): one row for each table."""
+        out = None
+        for t in self.tables:
+            df = self.frame(t)
+            one = df.agg(F.lit(t).alias("table"), F.count(F.lit(1)).alias("n_rows")).select(
+                "table", "n_rows", F.lit(len(df.columns)).cast("long").alias("n_columns"), F.lit(",".join(self.primary_key(t))).alias("key"),
+                F.lit(",".join(sorted(self.foreign_keys(t).values()))).alias("refers_to"))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def statements(self) -> list[str]:
+        """CREATE TABLE for each table, parents first, with primary and foreign keys."""
+        waiting, out = list(self.tables), []
+        while waiting:
+            ready = [t for t in waiting if not any(k.parent in waiting and k.parent != t for k in self.catalog.outgoing(t))] or waiting[:1]
+            for t in ready:
+                waiting.remove(t)
+                parts = [f"{c} {_SQL_TYPES.get(kind, kind.upper())}" for c, kind in self.frame(t).dtypes]
+                parts += [f"PRIMARY KEY ({c})" for c in self.primary_key(t)]
+                parts += [f"FOREIGN KEY ({k.column}) REFERENCES {k.parent} ({k.parent_column})" for k in self.catalog.outgoing(t)]
+                out.append(f"CREATE TABLE {t} ({', '.join(parts)})")
+        return out
+
+
+def from_rows(spark: SparkSession, tables: dict[str, list[dict]], views: bool = True) -> dict[str, DataFrame]:
+    """Tables from rows in memory, columns in order of first appearance, a column's kind being the tightest that fits
+    all of its values (bigint, double, boolean or string); with ``views`` they can be asked in SQL by name."""
+    out = {}
+    for name, rows in tables.items():
+        columns = list(dict.fromkeys(c for r in rows for c in r))
+        kinds = {c: _kind([r.get(c) for r in rows]) for c in columns}
+        change = {"bigint": int, "double": float, "boolean": bool, "string": str}
+        data = [tuple(None if r.get(c) is None else change[kinds[c]](r[c]) for c in columns) for r in rows]
+        out[name] = spark.createDataFrame(data, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) or "none string")
+        if views:
+            out[name].createOrReplaceTempView(name)
+    return out
+
+
+def _kind(values: list) -> str:
+    seen = [v for v in values if v is not None]
+    if seen and all(isinstance(v, bool) for v in seen):
+        return "boolean"
+    if seen and all(isinstance(v, int) and not isinstance(v, bool) for v in seen):
+        return "bigint"
+    return "double" if seen and all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in seen) else "string"
+
+
 def load(spark: SparkSession, folder: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
 

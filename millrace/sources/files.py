@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,40 @@ def infer_kinds(df: DataFrame) -> dict[str, str]:
     return {c: next((k for k in checks if row[f"{i}:{k}"]), "string") for i, c in enumerate(df.columns)}
 
 
+def read_csv_texts(spark: SparkSession, path: str, delimiter: str = ",", typed: bool = False) -> DataFrame:
+    """A CSV with header as texts, null as empty; ``typed``: as the tightest kinds that fit (``infer_kinds``)."""
+    raw = spark.read.csv(path, header=True, sep=delimiter, inferSchema=False, escape='"', multiLine=True)
+    texts = raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
+    return texts if not typed else texts.select(*[coerce(F.col(f"`{c}`"), kind).alias(c) for c, kind in infer_kinds(texts).items()])
+
+
+def read_csv_auto(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """A CSV with header: of one column as (value), of several as they are."""
+    df = read_csv_texts(spark, path, delimiter)
+    return df.toDF("value") if len(df.columns) == 1 else df
+
+
+def read_toon(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that ``write_toon`` wrote, as texts; null stays null.  The header tells names and the number of rows,
+    and another number of rows raises."""
+    from millrace.functions.binding import let
+
+    head = spark.read.text(f"{path}/header").first()[0]
+    m = re.fullmatch(r"(.+)\[(\d+)\]\{(.*)\}:", head)
+    if not m:
+        raise ValueError(f"no header: {head!r}")
+    names, n = m[3].split(","), int(m[2])
+    lines = spark.read.text(f"{path}/rows").select(F.substring("value", 3, 1 << 30).alias("line"))
+    # A cell is a quoted text, in which a backslash keeps the next character, or runs up to the next comma.
+    cells = F.regexp_extract_all("line", F.lit(r'(?:^|,)("(?:[^"\\]|\\.)*"|[^,]*)'), F.lit(1))
+    plain = lambda q: F.replace(F.replace(F.replace(F.replace(q, F.lit("\\\\"), F.lit("\u0000")), F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')), F.lit("\u0000"), F.lit("\\"))
+    cell = lambda x: F.when(x == "null", F.lit(None)).when(x.startswith('"'), plain(x.substr(F.lit(2), F.length(x) - 2))).otherwise(x)
+    out = lines.select(cells.alias("c")).select(*[let(F.get("c", F.lit(k)), cell).alias(name) for k, name in enumerate(names)])
+    if out.count() != n:
+        raise ValueError(f"{path} should have {n} rows")
+    return out
+
+
 def project_positions(df: DataFrame, positions: dict[str, tuple[int, ...]], joint: str = "") -> DataFrame:
     """Columns made of one or several columns of ``df`` by position; rows with a null among them go."""
     names = df.columns
@@ -83,8 +119,32 @@ def write_toon(df: DataFrame, name: str, path: str) -> None:
     toon_rows(df).write.text(f"{path}/rows")
 
 
-def derive(df: DataFrame, name: str, path: str, formats: tuple[str, ...] = ("csv", "jsonl", "toon")) -> None:
+def write_markdown(df: DataFrame, path: str, max_rows: int = 500) -> None:
+    """``markdown`` as one text file in a folder."""
+    df.sparkSession.createDataFrame([(markdown(df, max_rows).rstrip("\n"),)], "value string").coalesce(1).write.text(path)
+
+
+def compare_formats(df: DataFrame, path: str, formats: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(format, codec, bytes, n_rows, same): the table written in each format and codec under ``path``, how large it is
+    there and whether it comes back the same."""
+    spark = df.sparkSession
+    formats = formats or {"parquet": ("none", "snappy", "zstd"), "orc": ("none", "zstd"), "json": ("none", "gzip"), "csv": ("none", "gzip")}
+    rows = []
+    for name, codecs in formats.items():
+        for codec in codecs:
+            to = f"{path}/{name}-{codec}"
+            w = df.write.format(name).option("compression", codec)
+            (w.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if name == "csv" else w).save(to)
+            r = spark.read.schema(df.schema).format(name)
+            back = (r.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if name == "csv" else r).load(to)
+            at = spark._jvm.org.apache.hadoop.fs.Path(to)
+            size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+            rows.append((name, codec, size, back.count(), df.exceptAll(back).isEmpty() and back.exceptAll(df).isEmpty()))
+    return spark.createDataFrame(rows, "format string, codec string, bytes bigint, n_rows bigint, same boolean")
+
+
+def derive(df: DataFrame, name: str, path: str, formats: tuple[str, ...] = ("csv", "jsonl", "toon", "md")) -> None:
     """The table in each of ``formats`` under ``path``."""
-    write = {"csv": write_csv, "jsonl": write_jsonl, "toon": lambda d, p: write_toon(d, name, p)}
+    write = {"csv": write_csv, "jsonl": write_jsonl, "toon": lambda d, p: write_toon(d, name, p), "md": write_markdown}
     for f in formats:
         write[f](df, f"{path}/{name}.{f}")
