@@ -163,15 +163,22 @@ def doc_column_stats(spark, d):
     return _t(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"))
 
 
-def _foreign(child: str, column: str, parent: str, parent_column: str) -> str:
-    return f"""SELECT '{child}' AS child, '{column}' AS child_column, '{parent}' AS parent, '{parent_column}' AS parent_column,
-round(count(p.k) / count(*), 6) AS overlap, count(*) - count(p.k) AS orphan_values, 'high' AS confidence
-FROM (SELECT DISTINCT {column} AS k FROM {child}) c LEFT JOIN (SELECT DISTINCT {parent_column} AS k FROM {parent}) p USING (k)"""
-
-
-@query(" UNION ALL ".join(_foreign(k.table, k.column, k.parent, k.parent_column) for k in catalog.STAR.foreign))
+_FAMILIES = {
+    "region": "r_regionkey:int r_name:text", "nation": "n_nationkey:int n_name:text n_regionkey:int", "customer": "c_custkey:int c_name:text c_nationkey:int c_mktsegment:text",
+    "supplier": "s_suppkey:int s_name:text s_nationkey:int", "part": "p_partkey:int p_name:text p_brand:text p_type:text p_size:int", "orders": "o_orderkey:int o_custkey:int o_orderstatus:text o_orderpriority:text",
+    "lineitem": "l_orderkey:int l_partkey:int l_suppkey:int l_linenumber:int l_returnflag:text l_linestatus:text"}
+_LONG = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, '{f}' AS f, cast({c} AS VARCHAR) AS v FROM {t}" for t, cs in _FAMILIES.items() for c, _, f in (x.partition(":") for x in cs.split()))
+
+
+@query(f"""WITH d AS (SELECT t, c, f, v, count(*) AS n FROM ({_LONG}) WHERE v IS NOT NULL AND v <> '' GROUP BY ALL),
+s AS (SELECT t, c, count(*) AS k, sum(n) AS r FROM d GROUP BY ALL), p AS (SELECT t, c FROM s WHERE k / r >= 0.98 AND k >= 2), b AS (SELECT d.* FROM d JOIN p USING (t, c)),
+j AS (SELECT a.t AS child, a.c AS child_column, b.t AS parent, b.c AS parent_column, count(*) AS common FROM d a JOIN b ON a.v = b.v AND a.f = b.f AND a.t <> b.t GROUP BY ALL),
+o AS (SELECT j.*, k, common / k AS o, regexp_extract(child_column, '[^_]*$') = regexp_extract(parent_column, '[^_]*$') OR ends_with(child_column, parent_column) OR ends_with(parent_column, child_column) AS named
+FROM j JOIN s ON s.t = child AND s.c = child_column WHERE k >= 2)
+SELECT child, child_column, parent, parent_column, round(o, 6) AS overlap, k - common AS orphan_values,
+CASE WHEN named AND o >= 0.99 THEN 'high' WHEN named OR o >= 0.99 AND k >= 1000 THEN 'medium' ELSE 'low' END AS confidence FROM o WHERE o >= 0.85""")
 def fk_candidates(spark, d):
-    return profile.key_candidates(catalog.load(spark, d, STAR_TABLES)).withColumn("overlap", F.round("overlap", 6))
+    return profile.key_candidates(catalog.load(spark, d, STAR_TABLES), confidence=("high", "medium", "low")).withColumn("overlap", F.round("overlap", 6))
 
 
 @query("""SELECT o_custkey AS value, count(*) AS n_rows FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') GROUP BY 1""")
@@ -185,11 +192,17 @@ def fk_violations(spark, d):
     return catalog.violations(catalog.STAR, catalog.load(spark, d, STAR_TABLES))
 
 
-@query("""SELECT 'c' AS "table", 'k' AS "column", 'duplicate_key' AS alert, 'high' AS severity WHERE (SELECT count(DISTINCT c_custkey // 2) < count(*) FROM customer)
-UNION ALL SELECT 'c', 's', 'constant', 'medium' UNION ALL SELECT 'c', 'd', 'type_drift', 'high'""")
+_ALERTED = " UNION ALL ".join(f"""SELECT '{c}' AS "column", cast({c} AS VARCHAR) AS v FROM c""" for c in ("c_custkey", "k", "s", "d"))
+
+
+@query(f"""WITH c AS (SELECT c_custkey, c_custkey // 2 AS k, 'on' AS s, CASE WHEN c_custkey % 5 = 4 THEN 'n/a' ELSE cast(c_custkey AS VARCHAR) END AS d FROM customer),
+f AS (SELECT "column", count(*) AS n, count(DISTINCT v) AS u, avg(regexp_full_match(v, '\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*')::INT) FILTER (WHERE v <> '') AS share, count(*) FILTER (WHERE v <> '') AS seen FROM ({_ALERTED}) GROUP BY 1)
+SELECT 'c' AS "table", "column", 'duplicate_key' AS alert, 'high' AS severity FROM f WHERE "column" IN ('c_custkey', 'k') AND u < n
+UNION ALL SELECT 'c', "column", 'constant', 'medium' FROM f WHERE u = 1 AND n >= 2
+UNION ALL SELECT 'c', "column", 'type_drift', 'high' FROM f WHERE seen >= 4 AND share >= 0.5 AND share < 1""")
 def quality_alerts(spark, d):
     c = _t(spark, d, "customer").select("c_custkey", F.floor(F.col("c_custkey") / 2).alias("k"), F.lit("on").alias("s"), F.when(F.col("c_custkey") % 5 == 4, "n/a").otherwise(F.col("c_custkey").cast("string")).alias("d"))
-    return profile.quality_alerts(c, "c", ("c_custkey", "k"), order=["c_custkey"])
+    return profile.quality_alerts(c, "c", ("c_custkey", "k"))
 
 
 DATES = """CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 2 THEN strftime(o_orderdate, '%Y%m%d')
@@ -333,15 +346,6 @@ def lookup_with_fallback(spark, d):
     return flatten.lookup_name(_t(spark, d, "orders"), "o_custkey", c, "c_custkey", "c_name", "who").select("o_orderkey", "who")
 
 
-@query("""WITH l AS (SELECT o_orderstatus, o_orderpriority, o_totalprice FROM orders ORDER BY md5('3:' || o_orderkey || ':' || o_custkey), o_orderkey, o_custkey LIMIT 400)
-SELECT o_orderstatus, count(*) AS n FROM l GROUP BY 1""")
-def shape_request(spark, d):
-    tables = catalog.load(spark, d, ("customer", "orders"))
-    tables["orders"] = tables["orders"].select("o_orderkey", "o_custkey", "o_orderstatus").withColumn("o_orderstatus", F.col("o_orderstatus"))
-    picked = sampling.sample_with_references(tables, catalog.STAR, 400, ["o_orderkey", "o_custkey"], seed=3)["orders"]
-    return picked.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-
-
 # Encodings -------------------------------------------------------------------------------------
 
 _FIRST = """WITH r AS (SELECT o_orderpriority AS value, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders),
@@ -393,7 +397,9 @@ def _day_text(spark, d) -> DataFrame:
     return _t(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
-@query("SELECT '0-0-0' AS template, count(*) AS n_rows, 3::BIGINT AS n_groups, (SELECT (count(DISTINCT year(o_orderdate)) > 1)::INT + (count(DISTINCT month(o_orderdate)) > 1)::INT + (count(DISTINCT day(o_orderdate)) > 1)::INT FROM orders)::BIGINT AS n_varying FROM orders")
+@query("""WITH g AS (SELECT regexp_replace(v, '[0-9]+', '0', 'g') AS template, regexp_extract_all(v, '[0-9]+') AS gs FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS v FROM orders)),
+y AS (SELECT template, k, count(DISTINCT x) > 1 AS varies FROM (SELECT template, unnest(gs) AS x, generate_subscripts(gs, 1) AS k FROM g) GROUP BY ALL)
+SELECT template, count(*) AS n_rows, max(len(gs)) AS n_groups, (SELECT count(*) FROM y WHERE varies AND y.template = g.template) AS n_varying FROM g GROUP BY template""")
 def split_template(spark, d):
     return encode.split_template(_day_text(spark, d), "day")
 
@@ -405,7 +411,7 @@ def split_roundtrip(spark, d):
 
 def _advice_sql(table: str, columns: list[str]) -> str:
     one = """SELECT '{c}' AS "column", sum(n)::BIGINT AS n_rows, count(*) AS n_unique, sum((strlen(v) + 1) * n)::BIGINT AS raw_bytes,
-CASE WHEN count(*) >= 2 AND count(*) < sum(n) AND count(*) <= 8192 THEN sum(strlen(v) + 1) + sum(n) * CASE WHEN count(*) <= 94 THEN 1 WHEN count(*) <= 8836 THEN 2 ELSE 3 END END::BIGINT AS dictionary_bytes
+CASE WHEN count(*) >= 2 AND count(*) < sum(n) THEN sum(strlen(v) + 1) + sum(n) * CASE WHEN count(*) <= 94 THEN 1 WHEN count(*) <= 8836 THEN 2 WHEN count(*) <= 830584 THEN 3 ELSE 4 END END::BIGINT AS dictionary_bytes
 FROM (SELECT coalesce(cast({c} AS VARCHAR), '') AS v, count(*) AS n FROM {t} GROUP BY 1)"""
     inner = " UNION ALL ".join(one.format(c=c, t=table) for c in columns)
     return f"SELECT *, CASE WHEN dictionary_bytes < raw_bytes THEN 'dictionary' ELSE 'raw' END AS advice FROM ({inner})"
@@ -476,12 +482,17 @@ def nature_cnpj(spark, d):
     return ids.select("s_suppkey", CNPJ.decode(CNPJ.encode(F.col("id"))).alias("back"), CNPJ.classify(F.col("id")).alias("class"))
 
 
-@query("""SELECT event_id, ip, CASE WHEN ip LIKE '%.00%' THEN 'format_padded_zeros' ELSE 'compressible' END AS class, ip AS back
-FROM (SELECT event_id, '10.' || user_id % 256 || '.' || CASE WHEN event_id % 7 = 0 THEN '00' ELSE '' END || event_id % 200 || '.1' AS ip FROM events)""")
+@query("""WITH i AS (SELECT event_id, CASE event_id % 13 WHEN 0 THEN '' WHEN 1 THEN '10.' || event_id || '000.1.1' WHEN 2 THEN '1.2.3' ELSE
+'10.' || user_id % 256 || '.' || CASE WHEN event_id % 7 = 0 THEN lpad(cast(event_id % 200 AS VARCHAR), 3, '0') ELSE cast(event_id % 200 AS VARCHAR) END || '.1' END AS ip FROM events),
+c AS (SELECT *, CASE WHEN ip = '' THEN 'empty_value' WHEN NOT regexp_full_match(ip, '[0-9]{1,3}(\\.[0-9]{1,3}){3}') THEN 'format_mismatch' WHEN regexp_matches(ip, '(^|\\.)0[0-9]') THEN 'format_padded_zeros' ELSE 'compressible' END AS class FROM i)
+SELECT event_id, ip, class, ip AS back, CASE WHEN class = 'compressible' THEN 7 ELSE length(ip) + 1 END AS size FROM c""")
 def nature_ipv4(spark, d):
-    ip = F.concat(F.lit("10."), (F.col("user_id") % 256).cast("string"), F.lit("."), F.when(F.col("event_id") % 7 == 0, "00").otherwise(""), (F.col("event_id") % 200).cast("string"), F.lit(".1"))
+    k, number = F.col("event_id"), (F.col("event_id") % 200).cast("string")
+    usual = F.concat(F.lit("10."), (F.col("user_id") % 256).cast("string"), F.lit("."), F.when(k % 7 == 0, F.lpad(number, 3, "0")).otherwise(number), F.lit(".1"))
+    ip = F.when(k % 13 == 0, "").when(k % 13 == 1, F.concat(F.lit("10."), k.cast("string"), F.lit("000.1.1"))).when(k % 13 == 2, "1.2.3").otherwise(usual)
     ids = _t(spark, d, "events").select("event_id", ip.alias("ip"))
-    return ids.select("event_id", "ip", F.when(F.col("ip").rlike(r"\.00[0-9]{2,}\."), "format_padded_zeros").otherwise(IPV4.classify(F.col("ip"))).alias("class"), IPV4.decode(IPV4.encode(F.col("ip"))).alias("back"))
+    payload = IPV4.encode(F.col("ip"))
+    return ids.select("event_id", "ip", IPV4.classify(F.col("ip")).alias("class"), IPV4.decode(payload).alias("back"), F.length(payload).cast("long").alias("size"))
 
 
 @query("""SELECT CASE WHEN c_custkey % 4 = 0 THEN 'format_unmasked' WHEN c_custkey % 4 = 1 THEN 'empty_value' WHEN c_custkey % 4 = 2 THEN 'length_wrong' ELSE 'format_mismatch' END AS status, count(*) AS n FROM customer GROUP BY 1""")
@@ -604,3 +615,6 @@ def event_windows(spark, d):
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM e) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, s""")
 def event_sessions(spark, d):
     return streams.sessions(_t(spark, d, "events"), "30 minutes").select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+from millrace import more_queries  # noqa: E402, F401  they register themselves

@@ -1,6 +1,7 @@
 """Operators of the library on small tables, among them the odd ones."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -8,7 +9,7 @@ from millrace.functions import dates, identifiers, statistics, texts
 from millrace.functions.numbers import coerce, numeric, strict_double
 from millrace.operators import encode, flatten, nested, profile, sampling
 from millrace.operators.view import TableView, reorder, top_values, value_runs
-from millrace.plans import shaper, workload
+from millrace.plans import reports, shaper, workload
 from millrace.sources import catalog, files
 from millrace.storage import ranked, with_previous
 from millrace.streaming import events
@@ -127,7 +128,7 @@ def test_identifiers(spark):
     ips = ["10.0.0.1", "999.1.1.1", "01.2.3.4", "1.2.3"]
     ip = spark.createDataFrame([(r,) for r in ips], "v string").select(identifiers.IPV4.classify(F.col("v")).alias("c"), identifiers.IPV4.decode(identifiers.IPV4.encode(F.col("v"))).alias("b")).collect()
     assert [r["c"] for r in ip] == ["compressible", "compressible", "format_padded_zeros", "format_mismatch"] and [r["b"] for r in ip] == ips
-    assert len(identifiers.SYMBOLS) == 80
+    assert len(set(identifiers.SYMBOLS)) == 64 and "_" not in identifiers.SYMBOLS
     own = identifiers.pattern_codec("plate", r"^A([0-9]{3})-([0-9]{2})$", (3, 2), lambda p: F.concat(F.lit("A"), p[0], F.lit("-"), p[1]), 3)
     back = spark.createDataFrame([("A012-07",), ("B1",)], "v string").select(own.classify(F.col("v")), own.decode(own.encode(F.col("v")))).collect()
     assert [tuple(r) for r in back] == [("compressible", "A012-07"), ("format_mismatch", "B1")]
@@ -157,6 +158,19 @@ def test_keys_and_alerts(spark):
     assert profile.report(catalog.STAR, {"t": t}).count() >= 2
 
 
+def plain_allocation(population, size):
+    """Shares rounded half to even, at least one and at most all, then the rest one by one to the largest, at most twice round."""
+    total = sum(population.values())
+    share = {k: min(max(round(size * n / total), 1), n) for k, n in population.items()}
+    rest = size - sum(share.values())
+    for k in sorted(sorted(population), key=lambda k: -population[k]) * 2:
+        if rest > 0 and share[k] < population[k]:
+            share[k], rest = share[k] + 1, rest - 1
+        elif rest < 0 and share[k] > 1:
+            share[k], rest = share[k] - 1, rest + 1
+    return share
+
+
 def test_sampling(spark, monkeypatch):
     df = spark.createDataFrame([(k, ["a", "b", "c", None][min(k % 10, 3)] if k % 10 < 4 else "a") for k in range(200)], "k int, g string")
     assert sampling.sample_exact(df, 30, ["k"]).count() == 30 and sampling.sample_exact(df, 0.25, ["k"]).count() == 50
@@ -166,8 +180,13 @@ def test_sampling(spark, monkeypatch):
     assert {r["k"] for r in sampling.sample_exact(df, 30, ["k"]).collect()} == top and sampling.sample_exact(df, 900, ["k"]).count() == 200
     groups = Counter(r["g"] for r in sampling.sample_stratified(df, 20, "g", ["k"]).collect())
     assert groups == Counter({"a": 14, "b": 2, "c": 2, None: 2})
-    assert sampling.allocate({"x": 1, "y": 1, "z": 1}, 1) == {"x": 1, "y": 1, "z": 1}
-    assert sum(sampling.allocate({str(k): 10 + k for k in range(7)}, 33).values()) == 33
+    quota = lambda population, size: {r["value"]: r["quota"] for r in sampling.allocate(spark.createDataFrame(list(population.items()), "value string, n bigint"), size).collect()}
+    assert quota({"x": 1, "y": 1, "z": 1}, 1) == {"x": 1, "y": 1, "z": 1}
+    assert sum(quota({str(k): 10 + k for k in range(7)}, 33).values()) == 33
+    rng = random.Random(3)
+    for size in (5, 40, 111):
+        population = {str(k): rng.randrange(1, 60) for k in range(12)}
+        assert quota(population, size) == plain_allocation(population, size)
     row = sampling.distances(df, df, "g").first()
     assert row["tvd"] == row["jsd"] == row["hellinger"] == row["chi2"] == 0
     assert sampling.fit_p_value(df, df, "g") == pytest.approx(1)
@@ -244,3 +263,128 @@ def test_streams_agree_with_batches(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert encode.same_rows(spark.table("windows"), events.windowed(batch, "1 hour"))
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_runs_across_parts_and_batches(spark, batch):
+    """Runs against plain loops: long ones over many parts, and nulls; with batches of a few rows."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        rng = random.Random(7)
+        for n in (0, 1, 2, 5, 90, 91):
+            values = [x for _ in range(n) for x in [rng.choice([1, 1, 2, None])] * rng.randrange(1, 5)][:n]
+            steady = [k * 2 if k % 30 < 22 else rng.randrange(5) for k in range(n)]
+            df = spark.createDataFrame([(k, v, s) for k, (v, s) in enumerate(zip(values, steady))], "k int, v int, s bigint").repartition(3)
+            expected = [(k, v) for k, v in enumerate(values) if not k or values[k - 1] != v]
+            lengths = [b - a for a, b in zip([k for k, _ in expected], [*[k for k, _ in expected[1:]], n])]
+            assert sorted(tuple(r) for r in value_runs(df, "v", ["k"]).collect()) == [(k, v, m) for (k, v), m in zip(expected, lengths)]
+            deltas = [None, *[b - a for a, b in zip(steady, steady[1:])]][:n]
+            heads = [k for k in range(n) if k < 2 or deltas[k] != deltas[k - 1]]
+            expected = [(k, steady[k], deltas[k], m - k) for k, m in zip(heads, [*heads[1:], n])]
+            assert sorted(map(tuple, encode.delta_runs(df, "s", ["k"]).collect()), key=lambda r: r[0]) == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def plain_text_runs(texts):
+    """Greedy: a run goes on while the steps of its groups of digits are those of its first two texts."""
+    def step(a, b):
+        if re.sub("[0-9]", "0", a) != re.sub("[0-9]", "0", b):
+            return None
+        d = [int(y) - int(x) for x, y in zip(re.findall("[0-9]+", a), re.findall("[0-9]+", b))]
+        return d if len({x for x in d if x}) == 1 else None
+
+    out, i = [], 0
+    while i < len(texts):
+        j, d = i, step(texts[i], texts[i + 1]) if i + 1 < len(texts) else None
+        while d and j + 1 < len(texts) and step(texts[j], texts[j + 1]) == d:
+            j += 1
+        out.append((i, texts[i], d if j > i else None, j - i + 1))
+        i = j + 1
+    return out
+
+
+def test_text_delta_runs(spark):
+    rng = random.Random(5)
+    texts_ = [f"a{k:03d}-b{(k * 2 if k % 9 < 5 else 7) % 90:02d}" if rng.random() < 0.9 else rng.choice(["x", "a1-b2", ""]) for k in range(120)]
+    texts_ += ["n1", "n2", "n4", "n5", "n7", "n7", "n8", "m9", "m10", "m11"]
+    df = spark.createDataFrame(list(enumerate(texts_)), "k int, v string")
+    runs = encode.text_delta_runs(df, "v", ["k"])
+    assert sorted(map(tuple, runs.collect())) == sorted(plain_text_runs(texts_))
+    assert sorted(map(tuple, encode.expand_text_deltas(runs).collect())) == list(enumerate(texts_))
+
+
+def test_view_of_positions_names_and_tests(spark, view_table, tmp_path):
+    df = spark.createDataFrame([(3, "c"), (1, "a"), (2, None)], "k int, v string")
+    v = TableView(df, ["k"])
+    assert v.without_names().columns == ["0", "1"] and [r["k"] for r in v.at(spark.createDataFrame([(0,), (2,), (2,), (9,)], "_pos int")).orderBy("k").collect()] == [1, 3]
+    assert [r["k"] for r in v.where("v", test=lambda x: x == "").select(["k"]).collect()] == [2]
+    broken = TableView(spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "k int, v string"), ["k"])
+    with pytest.raises(ValueError, match="contiguous"):
+        broken.agg_by("v", "k", "sum", contiguous=True)
+    df.coalesce(1).write.parquet(f"file://{tmp_path}/t")
+    import pyarrow.parquet as pq
+
+    (name,) = tmp_path.glob("t/*.parquet")
+    footer = pq.ParquetFile(name).metadata
+    expected = {footer.row_group(0).column(c).path_in_schema: footer.row_group(0).column(c).total_compressed_size for c in range(2)}
+    assert {c: TableView(spark.read.parquet(f"file://{tmp_path}/t")).column_bytes(c) for c in ("k", "v")} == expected
+
+
+def test_nested_of_any_depth(spark):
+    ddl = "k int, s struct<a:int,t:struct<b:string>>, x array<struct<p:int,q:array<array<int>>,r:struct<u:array<string>>>>, y array<array<struct<z:int>>>"
+    rows = [
+        (1, (1, ("b",)), [(1, [[1, None], [], None], (["a", None],)), None, (None, None, None), (2, [], ([],))], [[(1,), None], None, []]),
+        (2, None, None, None), (3, (None, None), [], []), (4, (None, (None,)), [(5, [[7]], (None,))], [[(None,)]])]
+    df = spark.createDataFrame(rows, ddl)
+    tables = nested.shred_all(df, "k")
+    assert set(tables) == {"", "x[]", "x[]/q[]", "x[]/q[]/element[]", "x[]/r/u[]", "y[]", "y[]/element[]"}
+    back = nested.assemble_all(tables, df.schema, "k")
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect())) and back.columns == df.columns
+    size = {r["part"]: r["bytes"] for r in nested.byte_parts(nested.shred_all(spark.createDataFrame([(1, "ab", [5, 6])], "k int, v string, x array<int>"), "k")).collect()}
+    # Tables "" (k, v, x#: 1, ab, 2) and "x[]" (k, i0, element: 1, 0, 5 and 1, 1, 6), each name and value with a line end.
+    assert size == {"meta": 1 + 2 + 2 + 3 + 4 + 2 + 3 + 8, "control": 2 + 2 + 8, "leaves": 3 + 4}
+    levels = {(r["level"], tuple(r["counts"] or ())) for r in nested.array_counts(spark.createDataFrame([(1, [[1], None, [2, 3]])], "k int, x array<array<int>>"), "k", "x").collect()}
+    assert levels == {(0, (3,)), (1, (1, None, 2))}
+
+
+def test_catalog_and_files(spark, tmp_path):
+    data = catalog.Dataset(spark, "/root/testdata/sf0.001", catalog.STAR)
+    assert data.row_count("region") == 5 and data.primary_key("lineitem") == [] and data.foreign_keys("nation") == {"n_regionkey": "region.r_regionkey"} and data.schema("region") == {"r_regionkey": "int", "r_name": "string"}
+    made = data.statements()
+    assert made[0].startswith("CREATE TABLE region (r_regionkey INTEGER, r_name VARCHAR, PRIMARY KEY (r_regionkey))") and "REFERENCES orders (o_orderkey)" in made[-1]
+    import duckdb
+
+    con = duckdb.connect()
+    for statement in made:
+        con.execute(statement)  # each refers to tables that are there
+    with pytest.raises(KeyError):
+        data.frame("nope")
+    t = catalog.from_rows(spark, {"mem": [{"a": 1, "b": "x"}, {"a": None, "c": 2.5}, {"c": 1}]})["mem"]
+    assert dict(t.dtypes) == {"a": "bigint", "b": "string", "c": "double"} and spark.sql("SELECT count(c) FROM mem").first()[0] == 2
+    files.write_markdown(t, f"file://{tmp_path}/md")
+    assert spark.read.text(f"file://{tmp_path}/md").count() == 5
+    odd = spark.createDataFrame([(1, 'a"b,c'), (2, "\\n"), (3, "l1\nl2"), (4, None), (5, ""), (6, "null"), (7, "true"), (8, " x ")], "k int, s string")
+    files.write_toon(odd, "odd", f"file://{tmp_path}/toon")
+    assert sorted(map(tuple, files.read_toon(spark, f"file://{tmp_path}/toon").collect())) == [(str(r["k"]), r["s"]) for r in odd.orderBy("k").collect()]
+    quality = profile.quality_markdown({"t": odd}, profile.quality_alerts(odd, "t", ("k",)))
+    assert "## t" in quality and "### Most frequent values of t" in quality and "## Alerts" in quality
+
+
+def test_reports(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(k, rng.gauss(10, 2)) for k in range(2000)], "k int, v double")
+    r = reports.bootstrap(df, "v", "k", times=300).first()
+    half = 1.96 * df.agg(F.stddev_samp("v")).first()[0] / 2000**0.5
+    assert r["low"] < r["mean"] < r["high"] and abs((r["high"] - r["low"]) / 2 - half) < 0.25 * half
+    assert statistics.needed_rows(0.7, 0.05) == 1251 and statistics.adequacy(2000, 0.7)["adequate"]
+    assert statistics.needed_rows(0.7, statistics.smallest_change(500, 0.7)) <= 500
+    assert reports.key_hint("id_nation", ["nations"]) == "nations" and reports.key_hint("nation_id", ["nation"]) == "nation" and reports.key_hint("name", ["nation"]) is None
+    shaped = shaper.shape({"t": df}, catalog.Catalog("none", {}, ()), shaper.ShapeRequest(level=("t",), volume=200, stratify="nope"))
+    assert "t has no column nope" in shaped.trace and [tuple(x) for x in shaped.summary().collect()] == [("t", 2000, 200, 0.1)]
+    shaper.register_step("half", lambda tables, c, request, trace: {t: d.where("k % 2 = 0") for t, d in tables.items()})
+    try:
+        assert shaper.shape({"t": df}, catalog.Catalog("none", {}, ()), shaper.ShapeRequest(level=("t",))).counts() == {"t": 1000}
+    finally:
+        del shaper.STEPS["half"]
