@@ -8,13 +8,16 @@ places, so it is enough to compare the suffixes that start at anchors, and up to
 1. Each block of documents lists hashes of its anchors' grams, a few bytes each; a gram
    that only one document has is done with.
 2. What stands around the other anchors is range-partitioned by the leading bytes of the
-   suffix, between splitters from a sample.  A bucket sorts its suffixes by multikey
-   quicksort, eight bytes at a time, compares neighbours, and tells for each window around
-   an anchor whether an earlier document has it.  Splitters are ``GRAM`` bytes long, so
-   suffixes that agree that far are in one bucket and no match crosses a boundary; a
-   block sends each surrounding once, so a passage in a third of all documents is one row
-   for each block.
-3. Each block marks the bytes that such windows cover.
+   suffix, and where those agree by all that follows and the bytes to the left, between
+   splitters from a sample.  A bucket sorts its suffixes by multikey quicksort, eight bytes
+   at a time, compares neighbours, and tells for each window around an anchor whether an
+   earlier document has it.
+3. Suffixes that agree in their first bytes with a splitter can have their like across the
+   boundary, however many buckets the run of them spans: their windows that are the
+   earliest of their bucket are compared with those of the other buckets.  So a string
+   that many different texts follow is cut into as many buckets as it needs, and one
+   surrounding alone is a row for each block.
+4. Each block marks the bytes that such windows cover.
 """
 
 from __future__ import annotations
@@ -34,14 +37,16 @@ from millrace.llm.common import materialize
 LENGTH = 50
 GRAM = 24
 LEFT = LENGTH - GRAM  # bytes kept to the left of an anchor
-WIDTH = LEFT + LENGTH
-BLOCK_BYTES = 12 << 20
+WIDTH = LENGTH + LEFT  # a suffix, and the bytes to its left
+BLOCK_BYTES = 8 << 20
 CHUNK = 1 << 20
-#: Suffixes that splitters are taken from, at most.
-SAMPLE = 1 << 16
+#: Suffixes that splitters are taken from, at most, and one of how many anchors of a block is a candidate.
+SAMPLE, SAMPLE_EVERY = 1 << 15, 256
+#: Runs of suffixes that the quicksort leaves to an ordinary sort.
+SMALL = 24
 NO_ID = np.iinfo(np.int64).max  # a null id is later than any other
 
-DOCS, KEYS, SPLIT, AROUND = "docs", "keys", "split", "around"
+DOCS, KEYS, SPLIT, AROUND, EDGE, FIX = "docs", "keys", "split", "around", "edge", "fix"
 _DDL = "block string, kind string, bucket bigint, payload binary"
 _SCHEMA = pa.schema([("block", pa.string()), ("kind", pa.string()), ("bucket", pa.int64()), ("payload", pa.binary())])
 
@@ -123,15 +128,16 @@ class Block:
         return full[np.searchsorted(self.starts[full], places, "right") - 1]
 
     def around(self, places: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Rows of WIDTH + 2 bytes: what stands around each place, from LEFT bytes before it, zero
-        outside of its document, and how many bytes before and from it are its document's."""
+        """Rows of WIDTH + 2 bytes: LENGTH bytes from each place, LEFT bytes before it, zero outside
+        of its document, and how many bytes before and from it are its document's."""
         out = np.empty((len(places), WIDTH + 2), np.uint8)
-        out[:, :WIDTH] = np.lib.stride_tricks.sliding_window_view(self.bytes, WIDTH)[places - LEFT]
+        view = np.lib.stride_tricks.sliding_window_view
+        out[:, :LENGTH], out[:, LENGTH:WIDTH] = view(self.bytes, LENGTH)[places], view(self.bytes, LEFT)[places - LEFT]
         before = np.minimum(places - self.starts[doc], LEFT)
         after = np.minimum(self.starts[doc] + self.lengths[doc] - places, LENGTH)
         edge = np.flatnonzero((before < LEFT) | (after < LENGTH))
-        col = np.arange(WIDTH)
-        out[edge, :WIDTH] *= (col >= LEFT - before[edge, None]) & (col < LEFT + after[edge, None])
+        out[edge, :LENGTH] *= np.arange(LENGTH) < after[edge, None]
+        out[edge, LENGTH:WIDTH] *= np.arange(LEFT) >= LEFT - before[edge, None]
         out[:, WIDTH], out[:, WIDTH + 1] = before, after
         return out
 
@@ -158,58 +164,100 @@ def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_order(rows: np.ndarray) -> np.ndarray:
-    """The order of ``rows`` by their bytes: multikey quicksort, whose characters are words of
-    eight bytes: sort by one word, then only what is equal so far by the next."""
+    """The order of ``rows`` by their bytes: three-way multikey quicksort, whose characters are words of
+    eight bytes.  All runs that are still unsorted are parted at once, each around the middle of
+    three of its words: what is smaller and larger stays at its word, what is equal goes on with the next."""
     n, width = rows.shape
     wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
     wide[:, :width] = rows
-    words = wide.view(">u8")
+    words = np.ascontiguousarray(wide.view(">u8").astype(np.uint64))
     order = np.arange(n)
-    group = np.zeros(n, np.int64)  # of each place in the order
-    left = np.arange(n)  # places whose group has more than one row
-    for k in range(words.shape[1]):
-        if not len(left):
+    start, size, depth = np.zeros(1, np.int64), np.array([n]), np.zeros(1, np.int64)
+    rest: list[tuple[np.ndarray, np.ndarray]] = []
+    while True:
+        small = (size > 1) & (size <= SMALL)
+        rest.append((start[small], size[small]))
+        big = size > SMALL
+        start, size, depth = start[big], size[big], depth[big]
+        if not len(start):
             break
-        w = words[order[left], k].astype(np.uint64)
-        at = np.lexsort((w, group[left])) if k else np.argsort(w, kind="stable")
-        order[left] = order[left[at]]
-        w, g = w[at], group[left]
-        new = np.r_[True, (w[1:] != w[:-1]) | (g[1:] != g[:-1])]
-        ids = np.flatnonzero(new)
-        group[left] = left[ids][np.cumsum(new) - 1]
-        size = np.diff(np.r_[ids, len(left)])
-        left = left[np.repeat(size > 1, size)]
+        first = np.cumsum(size) - size  # of each run, among the places that are looked at
+        run = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(run)) + (start - first)[run]
+        w = words[order[place], depth[run]]
+        three = np.sort(np.stack([w[first], w[first + size // 2], w[first + size - 1]]), axis=0)[1]
+        side = (w >= three[run]).astype(np.int64) + (w > three[run])
+        count = np.bincount(run * 3 + side, minlength=3 * len(size)).reshape(-1, 3)
+        begin = start[:, None] + np.cumsum(count, axis=1) - count
+        to = np.empty(len(run), np.int64)
+        for s in range(3):
+            of = side == s
+            seen = np.cumsum(of) - of
+            to[of] = (begin[run, s] + seen - seen[first][run])[of]
+        order[to] = order[place]
+        start, size, depth = begin.reshape(-1), count.reshape(-1), (depth[:, None] + [0, 1, 0]).reshape(-1)
+        size = np.where(depth < words.shape[1], size, 0)  # runs that are equal to the end are done
+    start, size = (np.concatenate(x) for x in zip(*rest))
+    if len(start):
+        run = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(run)) + (start - (np.cumsum(size) - size))[run]
+        own = words[order[place]]
+        order[place] = order[place][np.lexsort((*own.T[::-1], run))]
     return order
 
 
+def _shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading bytes rows share."""
+    differ = a != b
+    return np.where(differ.any(1), differ.argmax(1), differ.shape[1])
+
+
+def has_window(rows: np.ndarray, a: int) -> np.ndarray:
+    """Is the window that starts ``a`` bytes before the anchor inside of the document?"""
+    return (rows[:, WIDTH] >= a) & (rows[:, WIDTH + 1] >= LENGTH - a)
+
+
+def windows(rows: np.ndarray, a: int) -> np.ndarray:
+    """The bytes of those windows."""
+    return np.hstack([rows[:, WIDTH - a:WIDTH], rows[:, :LENGTH - a]])
+
+
 def earlier_windows(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each surrounding, whose earliest document is ``first``, the windows that a document
+    """For each surrounding of ``rows``, sorted, whose earliest document is ``first``, the windows that a document
     before that has: bit a is the window that starts a bytes before the anchor."""
-    out = np.zeros(len(rows), np.uint32)
-    order = suffix_order(rows[:, LEFT:WIDTH])
-    rows, first = rows[order], first[order]
-    before, after = rows[:, WIDTH].astype(int), rows[:, WIDTH + 1].astype(int)
-    differ = rows[1:, LEFT:WIDTH] != rows[:-1, LEFT:WIDTH]
-    common = np.where(differ.any(1), differ.argmax(1), LENGTH)  # bytes that neighbours share
-    found = np.zeros(len(rows), np.uint32)
-    past = np.zeros(len(rows), np.uint64)  # of the bytes to the left, a hash
+    n = len(rows)
+    found = np.zeros(n, np.uint32)
+    if n < 2:
+        return found
+    common = _shared_bytes(rows[1:, :LENGTH], rows[:-1, :LENGTH])
+    left = rows[:, LENGTH:WIDTH][:, ::-1]
+    by_left = suffix_order(left)
+    common_left = _shared_bytes(left[by_left[1:]], left[by_left[:-1]])
+    past = np.empty(n, np.int64)
     for a in range(LEFT + 1):
-        if a:
-            past = (past + rows[:, LEFT - a] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            past ^= past >> np.uint64(29)
-        run = np.r_[0, np.cumsum(common < LENGTH - a)]
-        ok = np.flatnonzero((before >= a) & (after >= LENGTH - a))
+        run = np.r_[0, np.cumsum(common < LENGTH - a)]  # agree from the anchor on
+        past[by_left] = np.r_[0, np.cumsum(common_left < a)]  # agree before it
+        ok = np.flatnonzero(has_window(rows, a) & (np.bincount(run)[run] > 1))
         if len(ok) < 2:
             continue
-        at = ok[np.lexsort((first[ok], past[ok], run[ok]))]
-        same = (run[at[1:]] == run[at[:-1]]) & (past[at[1:]] == past[at[:-1]])
-        # The hash is only for sorting: the bytes are compared.
-        same &= (rows[at[1:], LEFT - a:LEFT] == rows[at[:-1], LEFT - a:LEFT]).all(1)
-        head = np.flatnonzero(np.r_[True, ~same])
-        least = first[at][head][np.cumsum(np.r_[True, ~same]) - 1]
-        found[at[least < first[at]]] |= np.uint32(1 << a)
-    out[order] = found
-    return out
+        key = run[ok] * n + past[ok]
+        at = np.argsort(key, kind="stable")
+        head = np.flatnonzero(np.r_[True, key[at[1:]] != key[at[:-1]]])
+        least = np.repeat(np.minimum.reduceat(first[ok[at]], head), np.diff(np.r_[head, len(at)]))
+        found[ok[at[least < first[ok[at]]]]] |= np.uint32(1 << a)
+    return found
+
+
+def edge_rows(every: np.ndarray, bits: np.ndarray, sides: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each a, the surroundings whose window a is the earliest of the bucket but whose run goes up to one
+    of ``sides``, the splitters around the bucket."""
+    if not sides:
+        return
+    reach = np.max([_shared_bytes(every[:, :LENGTH], s[None, :LENGTH]) for s in sides], axis=0)
+    for a in range(LEFT + 1):
+        own = np.flatnonzero((reach >= LENGTH - a) & (bits >> np.uint32(a) & np.uint32(1) == 0) & has_window(every, a))
+        if len(own):
+            yield a, own
 
 
 def _build(id_and_text: DataFrame, buckets: int) -> DataFrame:
@@ -223,7 +271,7 @@ def _build(id_and_text: DataFrame, buckets: int) -> DataFrame:
             name = f"{part}-{number}"
             sink = pa.BufferOutputStream()
             table = pa.table({"id": pa.array(ids, pa.int64()), "null": nulls, "text": pa.array(texts, pa.binary())})
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as w:
                 w.write_table(table)
             yield _row(name, DOCS, 0, sink.getvalue().to_pybytes())
             block = Block(np.array(ids, np.int64), texts)
@@ -234,8 +282,8 @@ def _build(id_and_text: DataFrame, buckets: int) -> DataFrame:
                 if e > s:
                     steps = np.diff(key[s:e], prepend=np.uint64(0))
                     yield _row(name, KEYS, b, _join(np.array([e - s], "<i8").tobytes(), _squeeze(steps), np.packbits(many[s:e]).tobytes()))
-            lead = block.bytes[places[::256, None] + np.arange(GRAM)]
-            yield _row(name, SPLIT, 0, lead.tobytes())
+            some = places[::SAMPLE_EVERY]
+            yield _row(name, SPLIT, len(some), block.around(some, block.of_doc(some))[:, :WIDTH].tobytes())
 
         for batch in batches:
             for k, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
@@ -283,6 +331,31 @@ def _shared(asks: DataFrame) -> DataFrame:
     return asks.groupBy("bucket").applyInArrow(run, _DDL)
 
 
+def _across(edges: DataFrame) -> DataFrame:
+    """For the windows at the boundaries, those that a document before has in another bucket: for each block and
+    bucket, pairs of a row's place and a."""
+
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, bucket, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                a, n, raw, least, place = _parts(p)
+                n = int(np.frombuffer(n, "<i8")[0])
+                raw = zstandard.ZstdDecompressor().decompress(raw)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * n), pa.array([bucket] * n, pa.int64()), pa.array([raw[k * LENGTH:(k + 1) * LENGTH] for k in range(n)], pa.binary()),
+                     pa.array(_stretch(least, n, "<i8")), pa.array(_stretch(place, n, "<i8")), pa.array([a[0]] * n, pa.int64())],
+                    names=["block", "bucket", "window", "least", "place", "a"])
+
+    def close(key: tuple, group: pa.Table) -> pa.Table:
+        pairs = np.stack([group.column("place").to_numpy(), group.column("a").to_numpy()], 1).astype("<i8")
+        return pa.Table.from_arrays([pa.array([v], t) for v, t in zip((key[0].as_py(), FIX, key[1].as_py(), pairs.tobytes()), _SCHEMA.types)], schema=_SCHEMA)
+
+    rows = materialize(edges.select("block", "bucket", "payload").mapInArrow(open_, "block string, bucket bigint, window binary, least bigint, place bigint, a bigint"), "edges")
+    first = rows.groupBy("window").agg(F.min("least").alias("first"), F.max("least").alias("last")).where(F.col("first") < F.col("last"))
+    late = rows.join(first, "window").where(F.col("least") > F.col("first"))
+    return materialize(late.groupBy("block", "bucket").applyInArrow(close, _DDL), "fixes")
+
+
 class _Candidates:
     """The anchors of a block whose grams several documents have, and what stands around them."""
 
@@ -299,16 +372,12 @@ class _Candidates:
                 shared[s:e] = np.unpackbits(np.frombuffer(replies[KEYS, b], np.uint8), count=e - s)
         self.places = places[shared[at]]
         self.doc = self.block.of_doc(self.places)
-        # Sorted with the suffix in front, so that ranges of leading bytes are runs.
-        rows = self.block.around(self.places, self.doc)
-        turned, self.at = _distinct(np.roll(rows, -LEFT, axis=1))
-        self.rows = np.roll(turned, LEFT, axis=1)
+        self.rows, self.at = _distinct(self.block.around(self.places, self.doc))
         self.first = np.full(len(self.rows), NO_ID, np.int64)
         np.minimum.at(self.first, self.at, self.block.ids[self.doc])
 
     def ranges(self, splitters: np.ndarray) -> np.ndarray:
-        lead = np.ascontiguousarray(self.rows[:, LEFT:LEFT + GRAM]).view(f"S{GRAM}").reshape(-1)
-        return np.searchsorted(splitters, lead, "right")
+        return np.searchsorted(splitters, np.ascontiguousarray(self.rows[:, :WIDTH]).view(f"S{WIDTH}").reshape(-1), "right")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -328,11 +397,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([p[k:k + GRAM] for k in range(0, len(p), GRAM)], pa.binary())], names=["lead"])
-
-    sample = parts.where(F.col("kind") == SPLIT).select("payload").mapInArrow(spread, "lead binary").orderBy(F.xxhash64("lead")).limit(SAMPLE).toPandas()["lead"]
-    lead = np.sort(np.array(sample.map(bytes).tolist(), f"S{GRAM}"))
+                yield pa.RecordBatch.from_arrays([pa.array([p[k:k + WIDTH] for k in range(0, len(p), WIDTH)], pa.binary())], names=["lead"])
+
+    offered = parts.where(F.col("kind") == SPLIT)
+    # The share of hashes is cut first, so that tasks don't each send as many as are taken in all.
+    share = min(2 * SAMPLE / max(offered.agg(F.sum("bucket")).first()[0] or 0, 1), 1)
+    leads = offered.select("payload").mapInArrow(spread, "lead binary").where(F.shiftrightunsigned(F.xxhash64("lead"), 34) < F.lit(int(share * (1 << 30))))
+    sample = leads.orderBy(F.xxhash64("lead")).limit(SAMPLE).toPandas()["lead"]
+    lead = np.unique(np.array(sample.map(bytes).tolist(), f"S{WIDTH}"))
     splitters = np.unique(lead[np.arange(1, n) * len(lead) // n]) if len(lead) else lead
+    bounds = [np.frombuffer(bytes(x).ljust(WIDTH, b"\0"), np.uint8) for x in splitters]
 
     def replies(got: pa.Table) -> dict[tuple[str, int], bytes]:
         return dict(zip(zip(got.column("kind").to_pylist(), got.column("bucket").to_pylist()), got.column("payload").to_pylist()))
@@ -363,10 +437,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         mask = np.where(least[at] < np.concatenate(first), np.uint32(1 << 31), bits[at]).astype("<u4")
         ends = np.cumsum([len(f) for f in first])
         out = [_join(np.array([len(f)], "<i8").tobytes(), _squeeze(mask[e - len(f):e])) for f, e in zip(first, ends)]
-        names = group.column("block").to_pylist()
-        return pa.Table.from_arrays([pa.array(names), pa.array([AROUND] * len(names)), pa.array([key[0].as_py()] * len(names), pa.int64()), pa.array(out, pa.binary())], schema=_SCHEMA)
+        names, bucket = group.column("block").to_pylist(), key[0].as_py()
+        rows = [(name, AROUND, bucket, p) for name, p in zip(names, out)]
+        # What has to be compared across the boundaries: rows of the earliest documents, with their windows.
+        begin = ends - [len(f) for f in first]
+        earliest = np.concatenate(first) == least[at]
+        for a, own in edge_rows(every, bits, [bounds[k] for k in (bucket - 1, bucket) if 0 <= k < len(bounds)]):
+            marked = np.zeros(len(every), bool)
+            marked[own] = True
+            r = np.flatnonzero(marked[at] & earliest)
+            of = np.searchsorted(ends, r, "right")
+            cuts = np.searchsorted(of, np.arange(len(names) + 1))
+            rows += [(names[k], EDGE, bucket, _join(bytes([a]), np.array([e - s], "<i8").tobytes(), zstandard.ZstdCompressor(level=1).compress(windows(every[at[r[s:e]]], a).tobytes()), _squeeze(least[at[r[s:e]]]), _squeeze(r[s:e] - begin[k])))
+                     for k, (s, e) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if e > s]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA)
 
     masks = materialize(around.groupBy("bucket").applyInArrow(compare, _DDL), "masks")
+    answers = shared.unionByName(masks.where(F.col("kind") == AROUND))
+    edges = masks.where(F.col("kind") == EDGE)
+    if not edges.isEmpty():
+        answers = answers.unionByName(_across(edges))
 
     def finish(key: tuple, block: pa.Table, got: pa.Table) -> pa.Table:
         reply = replies(got)
@@ -378,10 +468,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if e > s:
                 m, squeezed = _parts(reply[AROUND, b])
                 mask[s:e] = _stretch(squeezed, e - s, "<u4")
-        inside = (c.rows[:, WIDTH].astype(int), c.rows[:, WIDTH + 1].astype(int))
+                if (FIX, b) in reply:
+                    more = np.frombuffer(reply[FIX, b], "<i8").reshape(-1, 2)
+                    np.bitwise_or.at(mask, s + more[:, 0], (1 << more[:, 1]).astype(np.uint32))
         every = np.zeros(len(c.rows), np.uint32)
         for a in range(LEFT + 1):
-            every |= np.where((inside[0] >= a) & (inside[1] >= LENGTH - a), np.uint32(1 << a), np.uint32(0))
+            every |= np.where(has_window(c.rows, a), np.uint32(1 << a), np.uint32(0))
         whole = (mask[c.at] >> np.uint32(31) > 0) | (c.block.ids[c.doc] > c.first[c.at])
         own_mask = np.where(whole, every[c.at], mask[c.at] & np.uint32((1 << 31) - 1))
         marks = np.zeros(len(c.block.bytes) + 1, np.int32)
@@ -400,5 +492,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), result.types)], schema=result)
 
     result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
-    answers = shared.unionByName(masks)
     return blocks.cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
