@@ -6,7 +6,9 @@ with their counts in its training documents; buckets of grams add these up over
 blocks, work out a log-probability for each, and answer every block that asked.  A gram's
 whole chain of shorter contexts down to two bytes ends in the same two bytes, by which
 buckets are dealt, so a bucket needs no other; contexts of one byte and none are a table
-of 65,536 counts that all buckets get.
+of 65,536 counts that all buckets get.  Two bytes may be in every text: so a bucket's asks
+are added up ASKS blocks at a time, up a tree, and answered ASKS blocks at a time; what
+meets in one task is the bucket's distinct grams, not what all blocks ask.
 
 Escapes are estimated by absolute discounting: a context seen T times with D distinct
 bytes gives a byte seen c times (c - DISCOUNT)/T and leaves DISCOUNT * D/T to the next
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import materialize
 
 #: Text bytes of a block; a longer document is a block of its own.
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 8 << 20
+#: Blocks whose asks of a bucket meet in one task; with more, counts are added up a tree.
+ASKS = 128
 #: What each seen byte of a context gives up for those not seen.
 DISCOUNT = 0.4
 END = b"\n"  # no word holds it; it ends each document and is the context before its start
@@ -41,16 +45,35 @@ _PART = pa.schema([("block", pa.string()), ("kind", pa.string()), ("bucket", pa.
 _PART_DDL = "block string, kind string, bucket bigint, payload binary"
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """An array of 8-byte numbers, byte plane by byte plane, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _from_planes(b: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(kind).reshape(-1)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *(a.nbytes for a in arrays)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    parts = [_planes(a) for a in arrays]
+    return np.array([len(parts), *map(len, parts)], "<i8").tobytes() + b"".join(parts)
 
 
 def _unpack(payload: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(payload)
-    sizes = np.frombuffer(raw, "<i8", 1 + len(kinds))[1:]
+    sizes = np.frombuffer(payload, "<i8", len(kinds), 8)
     ends = np.cumsum(sizes) + 8 * (1 + len(kinds))
-    return [np.frombuffer(raw[e - s:e], k) for s, e, k in zip(sizes, ends, kinds)]
+    return [_from_planes(payload[e - s:e], k) for s, e, k in zip(sizes.tolist(), ends.tolist(), kinds)]
+
+
+def _pack_counts(code: np.ndarray, count: np.ndarray) -> bytes:
+    """Ascending codes, as steps, and their counts."""
+    return _pack(np.diff(code, prepend=code.dtype.type(0)), count)
+
+
+def _unpack_counts(payload: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    steps, count = _unpack(payload, kind, "<i8")
+    return np.cumsum(steps, dtype=kind), count
 
 
 def _normal(text: bytes) -> bytes:
@@ -131,7 +154,7 @@ def blocks(docs: DataFrame, order: int, buckets: int, id_col: str, text_col: str
             at = np.lexsort((code, bucket))
             code, count, bucket = code[at], count[at], bucket[at]
             ends = np.flatnonzero(np.r_[bucket[1:] != bucket[:-1], len(bucket) > 0]) + 1
-            return [(name, kind, int(bucket[a]), _pack(code[a:b], count[a:b])) for a, b in zip(np.r_[0, ends[:-1]], ends)]
+            return [(name, kind, int(bucket[a]), _pack_counts(code[a:b], count[a:b])) for a, b in zip(np.r_[0, ends[:-1]], ends)]
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -208,25 +231,73 @@ def gram_scores(code: np.ndarray, count: np.ndarray, order: int, pairs: np.ndarr
     return out
 
 
-def _answers(asks: DataFrame, order: int, pairs: np.ndarray) -> DataFrame:
-    """For each ask the log-probabilities of its grams or the counts of its words, in its order."""
+def _unpack_values(payload: bytes) -> np.ndarray:
+    every, at = _unpack(payload, "<f8", "<i8")
+    return every[at]
+
+
+def _kind_of(kind: str) -> str:
+    return "<u8" if kind == WORDS else "<i8"
+
 
-    def answer(key: tuple, group: pa.Table) -> pa.Table:
+def _added(payloads: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of several asks, ascending, and the sums of their counts."""
+    code, count = (np.concatenate(x) for x in zip(*(_unpack_counts(p, kind) for p in payloads)))
+    every, at = np.unique(code, return_inverse=True)
+    return every, np.bincount(at, count, len(every)).astype(np.int64)
+
+
+def _model(asks: DataFrame, order: int, pairs: np.ndarray, groups: int) -> DataFrame:
+    """(kind, bucket, payload): for each bucket its codes and their values, a log-probability
+    for a gram and a count for a word, and a row of kind stat with numbers of words.  Counts of
+    ``groups`` groups of blocks are added up, ASKS of them at a time."""
+
+    def add(key: tuple, group: pa.Table) -> pa.Table:
+        kind = key[0].as_py()
+        total = _pack_counts(*_added(group.column("payload").to_pylist(), _kind_of(kind)))
+        return pa.table({"kind": [kind], "bucket": pa.array([key[1].as_py()], pa.int64()), "salt": pa.array([key[2].as_py()], pa.int64()), "payload": pa.array([total], pa.binary())})
+
+    def packed(code: np.ndarray, value: np.ndarray) -> bytes:
+        every, at = np.unique(value, return_inverse=True)
+        return _pack(np.diff(code, prepend=code.dtype.type(0)), every, at)
+
+    def close(key: tuple, group: pa.Table) -> pa.Table:
+        kind, bucket = key[0].as_py(), key[1].as_py()
+        code, count = _added(group.column("payload").to_pylist(), _kind_of(kind))
+        if kind == WORDS:
+            out = [(WORDS, bucket, packed(code, count.astype("<f8"))), ("stat", bucket, _pack(np.array([(count > 0).sum(), count.sum()], "<f8")))]
+        else:
+            out = [(GRAMS, bucket, packed(code, gram_scores(code, count, order, pairs)))]
+        return pa.table({"kind": [r[0] for r in out], "bucket": pa.array([r[1] for r in out], pa.int64()), "payload": pa.array([r[2] for r in out], pa.binary())})
+
+    rows = asks.select("kind", "bucket", "salt", "payload")
+    while groups > 1:
+        rows = rows.groupBy("kind", "bucket", "salt").applyInArrow(add, "kind string, bucket bigint, salt bigint, payload binary")
+        rows = materialize(rows.withColumn("salt", F.floor(F.col("salt") / ASKS)), "sums")
+        groups = -(-groups // ASKS)
+    return materialize(rows.groupBy("kind", "bucket").applyInArrow(close, "kind string, bucket bigint, payload binary"), "model")
+
+
+def _answers(asks: DataFrame, model: DataFrame, groups: int) -> DataFrame:
+    """For each ask the values of its codes, in its order.  A bucket's model goes to each group of blocks."""
+
+    def answer(key: tuple, group: pa.Table, known: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return _PART.empty_table()
         kind = key[0].as_py()
-        words = kind == WORDS
-        asked = [_unpack(p.as_py(), "<u8" if words else "<i8", "<i8") for p in group.column("payload")]
-        code, at = np.unique(np.concatenate([a for a, _ in asked]), return_inverse=True)
-        count = np.bincount(at, np.concatenate([n for _, n in asked]), len(code))
-        value = count if words else gram_scores(code, count, order, pairs)
-        ends = np.cumsum([len(a) for a, _ in asked])
-        value = value.astype("<f8" if words else "<f4")
-        out = [_pack(value[at[e - len(a):e]]) for (a, _), e in zip(asked, ends)]
-        rows = [group.column("block").combine_chunks(), group.column("kind").combine_chunks(), group.column("bucket").combine_chunks(), pa.array(out, pa.binary())]
-        total = _pack(np.array([(count > 0).sum(), count.sum()], "<f8")) if words else _pack(np.zeros(2))
-        rows = [pa.concat_arrays([r.cast(t), pa.array([v], t)]) for r, t, v in zip(rows, _PART.types, ("", "stat" if words else "none", key[1].as_py(), total))]
-        return pa.Table.from_arrays(rows, schema=_PART)
-
-    return asks.where(F.col("kind").isin(WORDS, GRAMS)).groupBy("kind", "bucket").applyInArrow(answer, _PART_DDL)
+        code, every, at = _unpack(known.column("payload")[0].as_py(), _kind_of(kind), "<f8", "<i8")
+        code = np.cumsum(code, dtype=_kind_of(kind))
+        out = []
+        for p in group.column("payload").to_pylist():
+            own = at[np.searchsorted(code, _unpack_counts(p, _kind_of(kind))[0])]
+            used = np.zeros(len(every), bool)
+            used[own] = True
+            out.append(_pack(every[used], (np.cumsum(used) - 1)[own]))
+        return pa.Table.from_arrays([*(group.column(c).combine_chunks() for c in ("block", "kind", "bucket")), pa.array(out, pa.binary())], schema=_PART)
+
+    each = model.where(F.col("kind") != "stat").select("kind", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("salt"), "payload")
+    keys = ("kind", "bucket", "salt")
+    return materialize(asks.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInArrow(answer, _PART_DDL), "answers")
 
 
 def _look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -265,7 +336,11 @@ def score(docs: DataFrame, order: int = 5, id_col: str = "doc_id", text_col: str
     pairs = np.zeros((256, 256), np.int64)
     for pair, count in parts.where(F.col("kind") == PAIRS).select("payload").mapInArrow(spread, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n")).collect():  # at most 65,536 rows
         pairs[pair >> 8, pair & 255] = count
-    answers = materialize(_answers(parts, order, pairs), "answers")
+    n_blocks = parts.where(F.col("kind") == DOCS).count()
+    groups = max(-(-n_blocks // ASKS), 1)
+    asks = parts.where(F.col("kind").isin(WORDS, GRAMS)).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    model = _model(asks, order, pairs, groups)
+    answers = _answers(asks, model, groups)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -274,7 +349,7 @@ def score(docs: DataFrame, order: int = 5, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array([int(v)]), pa.array([int(t)])], names=["v", "t"])
 
     ends = parts.where(F.col("kind") == DOCS).select("payload").mapInArrow(_count_training, "n bigint").agg(F.sum("n")).first()[0] or 0
-    stat = answers.where("kind = 'stat'").select("payload").mapInArrow(add_up, "v bigint, t bigint").agg(F.sum("v"), F.sum("t")).first()
+    stat = model.where("kind = 'stat'").select("payload").mapInArrow(add_up, "v bigint, t bigint").agg(F.sum("v"), F.sum("t")).first()
     vocabulary, tokens = (stat[0] or 0) + (ends > 0), (stat[1] or 0) + ends
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint"
@@ -283,7 +358,7 @@ def score(docs: DataFrame, order: int = 5, id_col: str = "doc_id", text_col: str
         table = pa.ipc.open_stream(own.column("payload")[0].as_py()).read_all().combine_chunks()
         normal = table.column("text").to_pylist()
         reply = {(k, b): p for k, b, p in zip(got.column("kind").to_pylist(), got.column("bucket").to_pylist(), got.column("payload").to_pylist())}
-        values = lambda k, bucket: np.concatenate([_unpack(reply[k, b], "<f8" if k == WORDS else "<f4")[0] for b in np.unique(bucket).tolist()] or [np.zeros(0)])
+        values = lambda k, bucket: np.concatenate([_unpack_values(reply[k, b]) for b in np.unique(bucket).tolist()] or [np.zeros(0)])
         split = [t.split() for t in normal]
         words = list({w for s in split for w in s})
         code = _word_codes(words)
