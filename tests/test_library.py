@@ -11,7 +11,7 @@ from millrace.operators import encode, flatten, nested, profile, sampling
 from millrace.operators.view import TableView, reorder, top_values, value_runs
 from millrace.plans import reports, shaper, workload
 from millrace.sources import catalog, files
-from millrace.storage import ranked, with_previous
+from millrace.storage import materialize, ranked, scratch, with_previous
 from millrace.streaming import events
 from pyspark.sql import functions as F
 
@@ -388,3 +388,14 @@ def test_reports(spark):
         assert shaper.shape({"t": df}, catalog.Catalog("none", {}, ()), shaper.ShapeRequest(level=("t",))).counts() == {"t": 1000}
     finally:
         del shaper.STEPS["half"]
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    with scratch(spark):
+        gone, kept = materialize(spark.range(5), "gone"), materialize(spark.range(7), "kept", keep=True)
+        paths = gone.inputFiles()
+        assert gone.count() == 5
+    assert kept.count() == 7
+    at = spark._jvm.org.apache.hadoop.fs.Path(paths[0])
+    assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    assert materialize(spark.range(3), "free").count() == 3
