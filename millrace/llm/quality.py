@@ -27,21 +27,25 @@ STATISTICS = ("log_chars", "log_words", "word_length", "upper", "digits", "symbo
 
 def with_statistics(docs: DataFrame, text_col: str, packed: str) -> DataFrame:
     """``docs`` with the statistics of its whole texts (null counts as empty) in the struct ``packed``."""
-    text, words, lines = (unused(docs, n) for n in ("__text", "__words", "__lines"))
+    text, words, lines, rest = (unused(docs, n) for n in ("__text", "__words", "__lines", "__rest"))
     t = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     # Columns of their own: an array that a lambda looks into is then not made anew for each element.
     parted = docs.withColumn(text, t).withColumn(words, F.filter(F.split(text, SPACE), lambda w: w != "")).withColumn(lines, F.split(text, "\n"))
+    # Capitals, digits and symbols are counted in what is left without other letters and white space.
     t, w, ln = F.col(text), F.col(words), F.col(lines)
+    parted = parted.withColumn(rest, F.regexp_replace(t, r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}\s]+", ""))
     chars, n = F.length(t), F.size(w)
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
+    count = lambda pattern: F.regexp_count(F.col(rest), F.lit(pattern))
     per = lambda x, of: x / F.greatest(of, F.lit(1))
     stats = (
         F.log1p(chars), F.log1p(n), per(chars, n), per(count(r"\p{Lu}"), chars), per(count("[0-9]"), chars),
         per(count(r"[^\p{L}\p{N}\s.,;:'!|]"), chars), per(count("!"), n), per(count(r"\|"), n), per(count("[.?!]"), n),
         per(F.size(F.array_distinct(w)), n),
-        per(F.size(F.filter(F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(n, F.lit(1))).alias("b")), lambda p: p["a"] == p["b"])), n),
+        per(F.size(F.filter(w, lambda x, i: x == F.get(w, i + 1))), n),
         F.size(F.array_distinct(ln)) / F.size(ln), chars / F.size(ln))
-    return parted.withColumn(packed, F.struct(*[c.cast("double").alias(name) for name, c in zip(STATISTICS, stats)])).drop(text, words, lines)
+    row = F.struct(*[c.cast("double").alias(name) for name, c in zip(STATISTICS, stats)])
+    # A generator of one row: a filter on the statistics stays above it, instead of working each out once per rule.
+    return parted.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(row)).alias(packed))
 
 
 @dataclass(frozen=True)
@@ -156,11 +160,13 @@ def held_out(ident: Column, folds: int = 5) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> RuleModel:
-    """Fit on at most ``sample`` labelled rows that aren't held out."""
+    """Fit on at most ``sample`` labelled rows that aren't held out.  A document with several labels, or a
+    label of several documents (repeated ids), counts once for each pair; pairs that disagree pull both ways."""
     ident = F.col(f"`{id_col}`")
-    chosen = (
-        labels.where(~held_out(ident) & F.col(f"`{label_col}`").isNotNull()).select(ident.alias("__id"), F.col(f"`{label_col}`").cast("double").alias("__label"))
-        .orderBy(F.xxhash64("__id"), "__id", "__label").limit(sample))
+    known = labels.where(~held_out(ident) & F.col(f"`{label_col}`").isNotNull()).select(ident.alias("__id"), F.col(f"`{label_col}`").cast("double").alias("__label"))
+    # The share of hashes is cut first, so that tasks don't each send as many rows as are taken in all.
+    share = F.shiftrightunsigned(F.xxhash64("__id"), 34) < F.lit(int(min(2 * sample / max(known.count(), 1), 1) * (1 << 30)))
+    chosen = known.where(share).orderBy(F.xxhash64("__id"), "__id", "__label").limit(sample)
     # ``sample`` rows of two numbers bound the broadcast side.
     found = docs.select(ident.alias("__doc"), F.col(f"`{text_col}`").alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
     names = list(STATISTICS)
