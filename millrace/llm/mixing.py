@@ -11,7 +11,7 @@ a source misses its target by half a document at most.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import WORD, materialize, ranked, unused
@@ -111,24 +111,51 @@ def round_copies(units: DataFrame, largest: int, seed: int = 42) -> DataFrame:
 
 
 def take_copies(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), ceiling: float = 3.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """How often each row of ``sizes`` (doc_id, source, size) is taken, as (doc_id, source, size,
-    copies), and the targets of the sources.
+    """How often rows of ``sizes`` (doc_id, source, size) are taken, as (doc_id, source, size, rows, whole,
+    more), and the targets of the sources.
 
-    Rows that agree in all three columns (repeated rows) are one unit of their joint mass
-    and get the same number of copies.  Rows without words get none."""
+    Rows that agree in all three columns (repeated rows) are one unit: ``more`` of its ``rows`` are
+    taken ``whole`` + 1 times, the others ``whole`` times.  Only what is left of the unit's
+    share after whole rows is rounded, so a source of repeated rows too misses its target by
+    half a document at most.  Rows without words get none."""
     targets = materialize(source_targets(sizes, weights, ceiling), "targets")
     units = sizes.where("size > 0").groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows"))
     joined = units.join(targets, units["source"].eqNullSafe(targets["source"])).select(units["*"], "source_size", "target")
     rate = F.col("target") / F.col("source_size")
     key = F.struct("doc_id", "size")
-    split = materialize(joined.select(
-        "source", key.alias("key"), (F.col("rows") * F.col("size")).cast("double").alias("mass"),
-        F.floor(rate).cast("long").alias("whole"), (rate - F.floor(rate)).alias("p")), "units")
+    shares = joined.select("source", key.alias("key"), "rows", F.floor(rate).cast("long").alias("whole"), (F.col("rows") * (rate - F.floor(rate))).alias("share"))
+    split = materialize(shares.select(
+        "source", "key", "rows", "whole", F.col("key.size").cast("double").alias("mass"),
+        F.floor("share").cast("long").alias("sure"), (F.col("share") - F.floor("share")).alias("p")), "units")
     largest = int(targets.agg(F.max("n")).first()[0] or 0)
     extra = round_copies(split.where("p > 0").select("source", "key", "mass", "p"), largest, seed)
     copies = split.join(extra.withColumnRenamed("p", "up"), (split["key"] == extra["key"]) & split["source"].eqNullSafe(extra["source"]), "left").select(
-        split["source"], split["key"], (F.col("whole") + F.coalesce("up", F.lit(0.0)).cast("long")).alias("copies"))
-    return copies.select(F.col("key.doc_id").alias("doc_id"), "source", F.col("key.size").alias("size"), "copies"), targets
+        split["source"], split["key"], "rows", "whole", (F.col("sure") + F.coalesce("up", F.lit(0.0)).cast("long")).alias("more"))
+    return copies.select(F.col("key.doc_id").alias("doc_id"), "source", F.col("key.size").alias("size"), "rows", "whole", "more"), targets
+
+
+def _with_copies(rows: DataFrame, units: DataFrame, names: tuple[str, str, str], copies: str) -> DataFrame:
+    """``rows``, whose id, source and size are the columns ``names``, with the number of their ``copies``.
+
+    Repeated rows are numbered inside their part of the table first, and parts by how many they
+    have, so no task sees all rows of a unit."""
+    u = materialize(units, "copies").select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "size", "rows", "whole", "more")])
+    i, s, n = (rows[c] for c in names)
+    both = rows.join(u, i.eqNullSafe(F.col("__doc_id")) & s.eqNullSafe(F.col("__source")) & (n == F.col("__size")), "left")
+    keep = [rows[c] for c in rows.columns]
+    if u.where("__rows > 1").isEmpty():
+        return both.select(*keep, F.coalesce(F.col("__whole") + F.col("__more"), F.lit(0)).cast("long").alias(copies))
+    once = both.where("__rows IS NULL OR __rows = 1").select(*keep, F.coalesce(F.col("__whole") + F.col("__more"), F.lit(0)).cast("long").alias(copies))
+    unit = ["__doc_id", "__source", "__size"]
+    many = materialize(both.where("__rows > 1").withColumns({"__part": F.spark_partition_id(), "__tag": F.monotonically_increasing_id()}), "repeats")
+    before = Window.partitionBy(*unit).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = many.groupBy(*unit, "__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    parts = parts.select(*[F.col(c).alias(f"{c}_") for c in (*unit, "__part")], "__before")
+    own = many.withColumn("__local", F.row_number().over(Window.partitionBy(*unit, "__part").orderBy("__tag")))
+    match = [own[c].eqNullSafe(parts[f"{c}_"]) for c in (*unit, "__part")]
+    placed = own.join(parts, match[0] & match[1] & match[2] & match[3])
+    chosen = (F.col("__before") + F.col("__local") <= F.col("__more")).cast("long")
+    return once.unionByName(placed.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("__whole") + chosen).alias(copies)))
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -143,10 +170,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), ceiling:
     and empty texts have size 0 and are never taken; null sources are one source, last in
     order; a source without words has target 0.  Runs with the same rows and seed agree."""
     sizes = _sized(docs, id_col, text_col, source_col)
-    copies, targets = take_copies(sizes, weights, ceiling, seed)
-    with_copies = sizes.join(
-        copies, sizes["doc_id"].eqNullSafe(copies["doc_id"]) & sizes["source"].eqNullSafe(copies["source"]) & (sizes["size"] == copies["size"]), "left"
-    ).select(sizes["*"], F.coalesce("copies", F.lit(0)).cast("long").alias("copies"))
+    units, targets = take_copies(sizes, weights, ceiling, seed)
+    with_copies = _with_copies(sizes, units, ("doc_id", "source", "size"), "copies")
     out = with_copies.join(targets, with_copies["source"].eqNullSafe(targets["source"]))
     return out.select("doc_id", with_copies["source"], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -154,9 +179,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), ceiling:
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), ceiling: float = 3.0, seed: int = 42,
               id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as ``mix`` takes it, with the columns of ``docs``."""
-    size, copies_col = unused(docs, "__size"), unused(docs, "__copies")
-    copies, _ = take_copies(_sized(docs, id_col, text_col, source_col), weights, ceiling, seed)
-    taken = copies.where("copies > 0").select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("copies").alias(copies_col))
+    size, copies = unused(docs, "__words"), unused(docs, "__copies")
+    units, _ = take_copies(_sized(docs, id_col, text_col, source_col), weights, ceiling, seed)
     rows = docs.withColumn(size, word_count(F.col(f"`{text_col}`")))
-    both = rows.join(taken, rows[id_col].eqNullSafe(taken["__i"]) & rows[source_col].eqNullSafe(taken["__s"]) & (rows[size] == taken["__n"]))
-    return both.select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies_col))).alias(copies_col)).drop(copies_col)
+    both = _with_copies(rows, units.where("whole + more > 0"), (id_col, source_col, size), copies).where(F.col(copies) > 0)
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copies)).drop(copies)
