@@ -5,7 +5,8 @@ set bits of each (0 to 2).  The Manhattan distance of two embeddings is never mo
 the number of bits in which the fingerprints differ.  If it is at most r, and the segments
 are dealt into g > r groups, then at least g - r groups are equal in both: so each
 fingerprint goes into one grid cell for every choice of g - r groups, and any two within r
-meet in a cell.  In the cell, popcounts bound the distance again, and what is left is
+meet in a cell.  There, the difference of the popcounts of whole fingerprints and then the
+Manhattan distance of all segments are lower bounds of the distance, and what is left is
 compared exactly.  A cell gives a spanning forest of its links, not all pairs.
 """
 
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, lookup, materialize, stay, unused
+from millrace.llm.common import components, hook, lookup, materialize, stay, unused
 
 SEED = 42
 SEGMENTS = 32
@@ -94,9 +95,11 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
 
 
 def embed(fps: np.ndarray) -> np.ndarray:
-    """The popcount of each two-bit segment, two bits wide, in place."""
+    """The popcount of each two-bit segment in its place, written 00, 01 or 11: so the Manhattan distance of
+    two embeddings is the number of bits in which they differ."""
     low = np.uint64(0x5555555555555555)
-    return (fps & low) + ((fps >> np.uint64(1)) & low)
+    a, b = fps & low, (fps >> np.uint64(1)) & low
+    return (a | b) | ((a & b) << np.uint64(1))
 
 
 def _group_count(distinct: int, radius: int) -> int:
@@ -113,35 +116,22 @@ def _cell_masks(groups: int, radius: int) -> list[int]:
     return [sum(part[k] for k in chosen) for chosen in combinations(range(groups), groups - radius)]
 
 
-def _hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Merge the labels of linked rows; labels are row numbers, the smallest wins."""
-    while True:
-        x, y = label[a], label[b]
-        apart = x != y
-        if not apart.any():
-            return label
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-
-
 def link_cell(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among ``fps``: pairs of fingerprints."""
     weight = np.bitwise_count(fps).astype(np.int64)
     at = np.argsort(weight, kind="stable")
     fps, weight = fps[at], weight[at]
+    e = embed(fps)
     label = np.arange(len(fps))
     for k in range(0, len(fps), 128):
         rows = slice(k, min(k + 128, len(fps)))
         last = np.searchsorted(weight, weight[rows.stop - 1] + radius, "right")  # a lower bound of the distance
-        i, j = np.nonzero(np.bitwise_count(fps[rows, None] ^ fps[None, k:last]) <= radius)
+        i, j = np.nonzero(np.bitwise_count(e[rows, None] ^ e[None, k:last]) <= radius)  # and a closer one
         keep = i < j
+        i, j = i[keep], j[keep]
+        keep = np.bitwise_count(fps[k + i] ^ fps[k + j]) <= radius
         if keep.any():
-            label = _hook(label, i[keep] + k, j[keep] + k)
+            label = hook(label, i[keep] + k, j[keep] + k)
     moved = np.flatnonzero(label != np.arange(len(fps)))
     return fps[moved], fps[label[moved]]
 
@@ -219,14 +209,16 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str =
     return lookup(fps, table, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
 
 
-# Similarity of sets instead of a number of bits: least hashes give candidates, the sets decide.
+# Similarity of sets instead of a number of bits: fingerprints and least hashes give candidates, the sets decide.
 
 #: Least hashes that a table's cells are made of: sets of similarity s share a cell of it with probability s ** LEAST.
 LEAST = 8
 #: Of pairs just as similar as asked for, the share that no table brings together.
 MISSED = 0.001
 #: Documents, and shingles, that candidates' blocks hold; two blocks meet in a task.
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
+#: Of a group of more than a block, so many documents are compared with all others first.
+LEADERS = 32
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -255,8 +247,8 @@ def least_cells(sets: list[np.ndarray], tables: int) -> np.ndarray:
 
 
 def shingle_nodes(docs: DataFrame, words: int, tables: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest, node, n, cells): digest is a hash of the text, node one of its set of n
-    shingles, cells has its cell in each table (none for an empty set)."""
+    """(id, digest, node, n, cells, fp): digest is a hash of the text, node one of its set of n shingles,
+    cells has its cell in each table (none for an empty set), fp is the fingerprint of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -268,11 +260,13 @@ def shingle_nodes(docs: DataFrame, words: int, tables: int, id_col: str, text_co
                 full = [s for s in sets if len(s)]
                 flat = least_cells(full, tables).reshape(-1).view(np.int64) if full else np.zeros(0, np.int64)
                 ends = np.r_[0, np.cumsum((n > 0) * tables)].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "digest", "node", "n", "cells"])
+                fp = majority(np.concatenate([np.zeros(0, np.uint64), *full]), n).view(np.int64)
+                cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(n), cells, pa.array(fp)], names=["id", "digest", "node", "n", "cells", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`"), F.xxhash64(text), text).mapInArrow(run, f"id {kind}, digest bigint, node bigint, n bigint, cells array<bigint>")
+    return docs.select(F.col(f"`{id_col}`"), F.xxhash64(text), text).mapInArrow(run, f"id {kind}, digest bigint, node bigint, n bigint, cells array<bigint>, fp bigint")
 
 
 def link_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -310,41 +304,46 @@ def link_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]
     return links
 
 
-def candidate_groups(found: DataFrame) -> DataFrame:
+def candidate_groups(found: DataFrame, radius: int) -> DataFrame:
     """(node, label): the nodes of ``found`` that share a cell, directly or through others.
 
-    A cell gives a star around its smallest node.  It is no more than a candidate: sets with
-    one label meet later, whether they share a cell or not."""
-    rows = found.select("node", F.explode("cells").alias("cell"))
+    Fingerprints that ``link`` connects are a cell, too.  A cell gives a star around its
+    smallest node.  It is no more than a candidate: sets with one label meet later, whether
+    they share a cell or not."""
+    sets = found.groupBy("node").agg(F.first("fp").alias("fp"))
+    near = materialize(components(link(found.select("fp").distinct(), radius)), "near-fingerprints")
+    alike = sets.join(near, sets["fp"] == near["node"], "left").select(sets["node"], F.xxhash64(F.lit("fingerprint"), F.coalesce("label", "fp")).alias("cell"))
+    rows = materialize(found.select("node", F.explode("cells").alias("cell")).unionByName(alike), "cells")
     heads = rows.groupBy("cell").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.count(F.lit(1)).alias("rows")).where("head <> last")
     heads = materialize(heads.select("cell", "head", "rows"), "heads")
     return components(lookup(rows, heads, "cell", "rows").select(F.col("head").alias("a"), F.col("node").alias("b")))
 
 
-def similar_sets(docs: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) between nodes: all whose sets are so similar and that have one label are connected
-    by them, and none that isn't reached through such pairs.  ``docs`` has (id, digest, text),
-    ``groups`` (node, label, id, digest, n), whose first texts these are.
+def _by_group(rows: DataFrame, keys: list[str], then: list[str] = ()) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *then)
 
-    A label with more than a block's documents or shingles is dealt to blocks that meet two by two."""
-    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    sized = materialize(sizes.select("label", "members", blocks.alias("m")), "sizes")
-    dealt = lookup(groups, sized, "label", "members").withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-    dealt = dealt.select("node", "label", "id", "digest", "own", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other")).select(
-        "node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("id").alias("own_id"), F.col("digest").alias("own_digest"))
-    text = docs.join(dealt, (F.col("digest") == F.col("own_digest")) & F.col("id").eqNullSafe(F.col("own_id"))).select("label", "i", "j", "node", "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(docs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """The rows of ``dealt`` (own_id, own_digest, ...) with their texts."""
+    return docs.join(dealt, (F.col("digest") == F.col("own_digest")) & F.col("id").eqNullSafe(F.col("own_id"))).drop("id", "digest", "own_id", "own_digest")
+
+
+def _links(pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    if pairs:
+        yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()) for ends in zip(*pairs)], names=["a", "b"])
+
+
+def _meet(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links among the documents of each (label, i, j) of ``texts`` (label, i, j, node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
 
         def close() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
                 nodes = list(held)
-                links = link_sets(list(held.values()), similarity)
-                if links:
-                    yield pa.RecordBatch.from_arrays([pa.array([nodes[x] for x in ends], pa.int64()) for ends in zip(*links)], names=["a", "b"])
+                yield from _links([(nodes[x], nodes[y]) for x, y in link_sets(list(held.values()), similarity)])
 
         for b in batches:
             for *now, node, t in zip(*(b.column(k).to_pylist() for k in range(5))):
@@ -355,22 +354,94 @@ def similar_sets(docs: DataFrame, groups: DataFrame, words: int, similarity: flo
                     held[node] = shingle_set(t, words)
         yield from close()
 
-    return text.repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(meet, "a bigint, b bigint")
+    return _by_group(texts.select("label", "i", "j", "node", "text"), ["label", "i", "j"]).mapInArrow(run, "a bigint, b bigint")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _led(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links between the documents of each (label, i) of ``texts`` (label, i, place, node, text) and its leaders, which
+    have place 0: a document is linked to one leader of each group of linked leaders that it is similar to."""
+    p, q = Fraction(str(similarity)).as_integer_ratio()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets, group, found = None, [], [], None, []
+        for b in batches:
+            for label, i, place, node, t in zip(*(b.column(k).to_pylist() for k in range(5))):
+                if (label, i) != key:
+                    key, nodes, sets, group = (label, i), [], [], None
+                own = shingle_set(t, words)
+                if place == 0:
+                    nodes.append(node)
+                    sets.append(own)
+                    continue
+                if group is None:  # all leaders are there
+                    ends = np.array(link_sets(sets, similarity), np.int64).reshape(-1, 2)
+                    group = hook(np.arange(len(sets)), ends[:, 0], ends[:, 1])
+                    found += [(nodes[x], nodes[y]) for x, y in ends.tolist()]
+                done = set()
+                for k, other in enumerate(sets):
+                    if group[k] in done or not p * max(len(own), len(other)) <= q * min(len(own), len(other)):
+                        continue
+                    both = np.intersect1d(own, other, assume_unique=True).size
+                    if both * q >= p * (len(own) + len(other) - both):
+                        done.add(group[k])
+                        found.append((node, nodes[k]))
+            yield from _links(found)
+            found = []
+
+    return _by_group(texts.select("label", "i", "place", "node", "text"), ["label", "i"], ["place"]).mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_sets(docs: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes: all whose sets are so similar and that have one label are connected
+    by them, and none that isn't reached through such pairs.  ``docs`` has (id, digest, text),
+    ``groups`` (node, label, id, digest, n), whose first texts these are.
+
+    A label of one block meets in a task.  Of one with more documents or shingles, all are first
+    compared with LEADERS of them, which connects most of what can be; then those outside of the
+    largest connected part meet all others, block by block.  So a group of copies costs a comparison
+    or a few for each, and only what isn't alike costs more."""
+    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    sized = materialize(sizes.select("label", "members", blocks.alias("m")), "sizes")
+    dealt = lookup(groups, sized, "label", "members").select("node", "label", F.col("id").alias("own_id"), F.col("digest").alias("own_digest"), "m", F.pmod(F.xxhash64("node"), F.col("m")).cast("int").alias("own"))
+    dealt = materialize(dealt, "dealt")
+    small, large = (dealt.where(f"m {sign} 1") for sign in ("=", ">"))
+    todo = small.select("label", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "own_id", "own_digest")
+    if large.isEmpty():
+        return _meet(_texts(docs, todo), words, similarity)
+    first = large.groupBy("label", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(LEADERS)).alias("k")).agg(F.min(F.struct("node", "own_id", "own_digest", "m")).alias("x"))
+    leaders = first.select("label", F.explode(F.sequence(F.lit(0), F.col("x.m") - 1)).alias("i"), F.lit(0).alias("place"), "x.node", "x.own_id", "x.own_digest")
+    members = large.select("label", F.col("own").alias("i"), F.lit(1).alias("place"), "node", "own_id", "own_digest")
+    led = materialize(_led(_texts(docs, leaders.unionByName(members)), words, similarity), "led")
+    parts = components(led).select(F.col("node").alias("end"), F.col("label").alias("part"))
+    parted = materialize(large.join(parts, large["node"] == parts["end"], "left").select(large["*"], F.coalesce("part", "node").alias("part")), "parted")
+    counts = parted.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("label").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    most = materialize(most.select(F.col("label").alias("of"), "largest", F.ceil(F.col("rest") / BLOCK).cast("int").alias("u")), "open")
+    # A row for each label of more than a block that isn't one part: fewer than documents by BLOCK.
+    still = parted.join(most, parted["label"] == most["of"])
+    ids = ["node", "own_id", "own_digest"]
+    every = still.select("label", F.explode(F.sequence(F.lit(0), F.col("u") - 1)).alias("i"), F.col("own").alias("j"), *ids)
+    outside = still.where("part <> largest").select("label", F.pmod(F.xxhash64("node", F.lit(2)), F.col("u")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"), *ids)
+    todo = todo.unionByName(every).unionByName(outside)
+    return _meet(_texts(docs, todo), words, similarity).unionByName(led)
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without its near duplicates, all columns kept: of documents that are linked,
     directly or through others, the one with the smallest id stays (null last).
 
     Linked are documents whose sets of ``words``-word shingles have a Jaccard similarity of
-    ``similarity`` or more, by the sets of 64-bit hashes themselves.  Candidates come from
-    tables of least hashes that all but MISSED of pairs just so similar meet in, and all
-    that are reached from each other through tables are compared.  Texts of fewer words are
-    one shingle, empty and null ones are alike; of repeated rows one stays."""
+    ``similarity`` or more, by the sets of 64-bit hashes themselves.  Candidates are those
+    whose fingerprints differ in at most ``radius`` bits, found on the grid of popcounts, and,
+    as similar sets can differ in more bits than the grid can bridge, those that meet in
+    tables of least hashes, in which all but MISSED of pairs just so similar do.  All that are
+    reached from each other through either are compared.  Texts of fewer words are one
+    shingle, empty and null ones are alike; of repeated rows one stays."""
     found = materialize(shingle_nodes(docs, words, table_count(similarity), id_col, text_col), "shingles")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first")
     nodes = materialize(found.groupBy("node").agg(F.first("n").alias("n"), first), "nodes")
-    groups = materialize(candidate_groups(found).join(nodes, "node").select("node", "label", "first.id", "first.digest", "n"), "groups")
+    groups = materialize(candidate_groups(found, radius).join(nodes, "node").select("node", "label", "first.id", "first.digest", "n"), "groups")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
     labels = components(similar_sets(texts, groups, words, similarity))
