@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from millrace.llm import exact_dedup, simhash, substring_dedup
+from millrace.llm import common, exact_dedup, simhash, substring_dedup
 from millrace.llm.common import components
 
 
@@ -37,6 +37,36 @@ def test_exact_index_remembers(make_docs, tmp_path):
     assert again.read().count() == 3
 
 
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_exact_batches_and_compaction(make_docs, tmp_path, monkeypatch, batches):
+    """However many batches a call is dealt to, and however often the index is compacted, the result is the same."""
+    monkeypatch.setattr(exact_dedup, "BATCHES", batches)
+    monkeypatch.setattr(exact_dedup, "group_digests", lambda d, i, b, f=exact_dedup.group_digests: f(d, i, b, batches))
+    monkeypatch.setattr(exact_dedup, "COMPACT_AT", 1)
+    rng = random.Random(4)
+    rows = [(rng.randrange(60), f"text {rng.randrange(25)}") for _ in range(90)] + [(None, "text 3"), (None, "alone"), (70, None), (71, "")]
+    index = exact_dedup.DigestIndex(make_docs([]).sparkSession, f"file://{tmp_path}/index", 2)
+    got = sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in exact_dedup.mark_duplicates(make_docs(rows), index).collect())
+    ids = {}
+    for i, t in rows:
+        ids.setdefault(t or "", []).append(i)
+    assert got == sorted((str(i), str(min((x for x in ids[t or ""] if x is not None), default=None)), len(ids[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    assert index.read().count() == len(ids) == exact_dedup.DigestIndex(index.spark, index.path, 2).read().count()
+    assert exact_dedup.mark_duplicates(make_docs([(900, "text 3"), (901, "new")]), index).where("kept").count() == 1
+    assert index.read().count() == len(ids) + 1 and index.generation > 0
+
+
+def test_exact_call_again_after_a_failure(make_docs, tmp_path):
+    """The same batch again gives the same rows, and adds nothing twice."""
+    index = exact_dedup.DigestIndex(make_docs([]).sparkSession, f"file://{tmp_path}/index", 2)
+    docs = make_docs([(1, "a"), (2, "a"), (3, "b"), (4, "c")])
+    cut = exact_dedup.group_digests(docs.selectExpr("doc_id", "sha2(text, 256) AS digest", "doc_id AS tag").where("doc_id < 3"), index, "night")  # as far as it came
+    assert cut.count() == 1
+    first, second = (sorted(map(tuple, exact_dedup.mark_duplicates(docs, index, "night").collect())) for _ in range(2))
+    assert first == second and [r[3] for r in first] == [True, False, True, True] and index.read().count() == 3
+    assert not exact_dedup.mark_duplicates(docs, index, "next").where("kept").count()
+
+
 def test_exact_drop_keeps_columns_and_empties(odd_docs, make_docs):
     kept = exact_dedup.drop_duplicates(odd_docs)
     assert kept.columns == odd_docs.columns
@@ -89,7 +119,9 @@ def test_link_splits_hot_cells(spark, monkeypatch):
     assert all(label.get(f, f) == group[f] for f in fps)
 
 
-def test_components_of_a_chain_and_a_hub(spark):
+@pytest.mark.parametrize("block", [1 << 17, 20])
+def test_components_of_a_chain_and_a_hub(spark, monkeypatch, block):
+    monkeypatch.setattr(common, "BLOCK_EDGES", block)
     chain = [(k, k + 1) for k in range(50)]
     hub = [(1000, 1000 + k) for k in range(1, 60)]
     label = {r["node"]: r["label"] for r in components(spark.createDataFrame(chain + hub, "a bigint, b bigint")).collect()}
@@ -141,9 +173,11 @@ def brute_removal(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 600])
-def test_repeated_passages_against_brute_force(make_docs, monkeypatch, block):
+@pytest.mark.parametrize("block,buckets,every", [(1 << 20, 4, 256), (600, 4, 1), (300, 40, 1)])
+def test_repeated_passages_against_brute_force(make_docs, monkeypatch, block, buckets, every):
+    """Also where splitters fall inside of runs that agree in all they need."""
     monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(substring_dedup, "SAMPLE_EVERY", every)
     rng = random.Random(11)
     letters = "abcdefgh é"
     passage = ["".join(rng.choice(letters) for _ in range(n)) for n in (49, 50, 51, 80, 200, 33)]
@@ -155,7 +189,10 @@ def test_repeated_passages_against_brute_force(make_docs, monkeypatch, block):
             parts += [p[rng.randrange(3):], "".join(rng.choice(letters) for _ in range(rng.randrange(20)))]
         rows.append((i, "".join(parts)))
     rows += [(100, None), (101, ""), (None, passage[4]), (None, passage[4] + "x"), (102, "ab" * 90), (103, "z" + "ab" * 60), (104, "\0" * 120), (105, "\0" * 70), (50, passage[3]), (106, passage[4] * 3)]
-    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(make_docs(rows)).collect())
+    common = passage[3][:28]  # many texts go on from it in their own way, some in the same
+    rows += [(200 + i, rng.choice("pqrs") * 5 + common + "".join(rng.choice("xy") for _ in range(7)) + "t" * 30) for i in range(60)]
+    rng.shuffle(rows)
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(make_docs(rows), buckets=buckets).collect())
     assert got == brute_removal(rows)
 
 
@@ -165,7 +202,18 @@ def test_repeated_passages_of_odd_tables(odd_docs, make_docs):
     assert substring_dedup.remove_repeats(make_docs([])).count() == 0
 
 
-def test_suffix_order_is_the_order_of_bytes():
+@pytest.mark.parametrize("n,width,letters", [(500, 19, 2), (3000, 50, 2), (2000, 76, 1), (1500, 8, 256), (0, 16, 2), (1, 16, 2)])
+def test_suffix_order_is_the_order_of_bytes(n, width, letters):
     rng = np.random.default_rng(2)
-    rows = rng.integers(0, 2, (500, 19), dtype=np.uint8) * 255
+    rows = (rng.integers(0, letters, (n, width)) * (255 // max(letters - 1, 1))).astype(np.uint8)
+    rows[: n // 2, : width // 2] = 7
     assert [bytes(r) for r in rows[substring_dedup.suffix_order(rows)]] == sorted(bytes(r) for r in rows)
+
+
+def test_link_cell_bounds_by_segments():
+    """The Manhattan distance of the embeddings is the sum of differences of popcounts, and never more than the bits that differ."""
+    fps = np.random.default_rng(3).integers(0, 1 << 63, 200, np.uint64)
+    counts = np.stack([np.bitwise_count(fps >> np.uint64(2 * k) & np.uint64(3)) for k in range(32)], 1).astype(int)
+    e = simhash.embed(fps)
+    between = np.bitwise_count(e[:, None] ^ e[None])
+    assert (between == np.abs(counts[:, None] - counts[None]).sum(2)).all() and (between <= np.bitwise_count(fps[:, None] ^ fps[None])).all()

@@ -60,6 +60,40 @@ def test_apply_mix(make_docs, odd_docs):
     assert mixing.mix(make_docs([(1, None), (2, "")])).where("taken = 0").count() == 2
 
 
+def test_mix_of_repeated_rows(make_docs):
+    """A source made of one row many times misses its target by half of one row at most, and numbers are whole."""
+    rows = [(1, "w " * 7, "a")] * 101 + [(2, "w " * 3, "a")] * 40 + [(3, "w " * 11, "b")] * 60 + [(4, "w " * 500, "c"), (None, "w " * 4, "b"), (None, "w " * 4, "b")]
+    docs = make_docs(rows).repartition(5)
+    taken, target = Counter(), {}
+    for r in mixing.mix(docs).collect():
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["copies"] <= 3
+    for s, largest in (("a", 7), ("b", 11), ("c", 500)):
+        assert abs(taken[s] - target[s]) <= largest / 2 + 1e-6
+    found = Counter(r["source"] for r in mixing.apply_mix(docs).collect())
+    assert {s: n for s, n in found.items()} == Counter({s: sum(r["copies"] for r in mixing.mix(docs).where(f"source = '{s}'").collect()) for s in "abc"})
+
+
+def test_pivotal_rounding_keeps_the_mean(spark):
+    """Over 400 sources of the same make-up each unit is taken as often as its probability says, and the words that a
+    source takes vary by hardly more than a document, where independent rounding would spread over dozens."""
+    p, mass = [0.1, 0.5, 0.5, 0.25, 0.9, 0.7, 0.35, 0.6], [3.0, 5.0, 8.0, 2.0, 4.0, 6.0, 7.0, 3.0]
+    rows = [(f"s{s}", (100 * s + i, 1), mass[i], p[i]) for s in range(400) for i in range(8)]
+    got = mixing.round_copies(spark.createDataFrame(rows, "source string, key struct<doc_id:bigint,size:bigint>, mass double, p double"), 8).collect()
+    up, taken = Counter(), Counter()
+    assert len(got) == len(rows)
+    for r in got:
+        s, i = divmod(r["key"]["doc_id"], 100)
+        assert r["p"] in (0.0, 1.0)
+        up[i] += r["p"]
+        taken[s] += r["p"] * mass[i]
+    for i in range(8):
+        assert abs(up[i] / 400 - p[i]) <= 4 * (p[i] * (1 - p[i]) / 400) ** 0.5 + 0.04
+    goal = sum(a * b for a, b in zip(p, mass))
+    assert all(abs(t - goal) <= 4.001 for t in taken.values())
+
+
 def plain_ids(texts):
     t = WordTokenizer(word_bpe_path()).tokenizer
     return [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
@@ -96,6 +130,15 @@ def test_pack(make_docs, odd_docs):
     assert packing.pack(make_docs([])).count() == 0
 
 
+def test_pack_is_as_tight_as_a_plain_packer(make_docs):
+    """Brute force beside it: best fit over all pieces, one after the other, needs hardly fewer sequences."""
+    rng = np.random.default_rng(9)
+    docs = make_docs([(i, "word " * int(min(rng.exponential(300), 1800))) for i in range(600)])
+    rows = packing.pack(docs).collect()
+    row, _ = binary_rows.best_fit(np.array([r["length"] for r in rows]), 2048)
+    assert len({r["sequence_id"] for r in rows}) <= 1.02 * len(set(row.tolist())) + 1
+
+
 def test_plan_places_everything():
     rng = np.random.default_rng(6)
     for n in (0, 1, 5, 400, 100_000):
@@ -141,7 +184,7 @@ def test_best_fit_takes_the_fullest_row_that_fits():
 
 
 def test_packed_rows_round_trip(make_docs, odd_docs, tmp_path):
-    rows = binary_rows.packed_rows(odd_docs, width=256, shards=3)
+    rows = binary_rows.packed_rows(odd_docs, width=256, shard_tokens=2000)
     back = defaultdict(list)
     for r in rows.collect():
         ids = np.frombuffer(r["ids"], "<u4")

@@ -1,4 +1,4 @@
-import itertools
+import heapq
 import math
 import random
 import re
@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from millrace.llm import ann, chat, lm_score, quality
 from pyspark.sql import functions as F
 
@@ -42,9 +43,10 @@ def plain_ppm(train, text, order):
     return total
 
 
-@pytest.mark.parametrize("order,block", [(5, 1 << 20), (2, 40)])
-def test_lm_scores_against_brute_force(make_docs, monkeypatch, order, block):
+@pytest.mark.parametrize("order,block,asks", [(5, 1 << 20, 128), (2, 40, 128), (3, 40, 2)])
+def test_lm_scores_against_brute_force(make_docs, monkeypatch, order, block, asks):
     monkeypatch.setattr(lm_score, "BLOCK_BYTES", block)
+    monkeypatch.setattr(lm_score, "ASKS", asks)
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice(["The", "the", "of", "tion", "é", "a|b"]) for _ in range(rng.randrange(12)))) for i in range(40)]
     rows += [(90, None), (91, ""), (None, "The end"), (92, "Zebra quux \x00 of"), (92, "Zebra quux \x00 of"), (93, "あい the\tthe\n")]
@@ -54,10 +56,10 @@ def test_lm_scores_against_brute_force(make_docs, monkeypatch, order, block):
     n, v = sum(c.values()), len(c)
     expected = sorted(
         (str(i), held(i, 7, 2), len(w) + 1, sum(c[x] > 0 for x in [*w, None]), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in [*w, None]), 4),
-         round(plain_ppm([b" ".join(x) for x in train], b" ".join(w), order), 3)) for i, w in docs)
-    got = sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4), round(r["score"], 3)) for r in lm_score.score(make_docs(rows), order=order).collect())
+         round(plain_ppm([b" ".join(x) for x in train], b" ".join(w), order), 6)) for i, w in docs)
+    got = sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4), round(r["score"], 6)) for r in lm_score.score(make_docs(rows), order=order).collect())
     for g, e in zip(got, expected, strict=True):
-        assert g[:5] == e[:5] and g[5:] == pytest.approx(e[5:], abs=2e-3)
+        assert g[:5] == e[:5] and g[5] == pytest.approx(e[5], abs=2e-4) and g[6] == pytest.approx(e[6], abs=2e-6)
 
 
 def test_lm_of_odd_tables(odd_docs, make_docs):
@@ -104,6 +106,47 @@ def test_quality(spark, make_docs, odd_docs):
     assert quality.fit(docs, flipped) == model  # held-out labels are not looked at
 
 
+def plain_statistics(t):
+    words, lines = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w], t.split("\n")
+    n, chars, c = max(len(words), 1), max(len(t), 1), lambda p: len(regex.findall(p, t))
+    return [math.log1p(len(t)), math.log1p(len(words)), len(t) / n, c(r"\p{Lu}") / chars, c("[0-9]") / chars, c(r"[^\p{L}\p{N}\x20\x09-\x0D.,;:'!|]") / chars, c("!") / n, c(r"\|") / n, c("[.?!]") / n,
+            len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:])) / n, len(set(lines)) / len(lines), len(t) / len(lines)]
+
+
+def test_quality_against_plain_python(spark, make_docs, odd_docs):
+    """Statistics one by one, the rules of a model as conditions, and their weights added up."""
+    texts = ["", "A b  B b\tb\n\n12.5% | || ǅ é!", "x\x1cy \u00a0z", "İΣ #$ 日本 日本\n日本 日本.", "no no No? ...\r\nend\n"]
+    docs = make_docs(list(enumerate(texts))).unionByName(odd_docs)
+    rows = quality.with_statistics(docs, "text", "stats").select("text", "stats.*").collect()
+    for r in rows:
+        assert [r[n] for n in quality.STATISTICS] == pytest.approx(plain_statistics(r["text"] or "")), r["text"]
+    rng = np.random.default_rng(2)
+    x = np.array([[r[n] for n in quality.STATISTICS] for r in rows])
+    x = np.vstack([x + 0.01 * rng.standard_normal(x.shape) for _ in range(20)])
+    model = quality.fit_rules(x, (x[:, 2] + x[:, 9] > np.median(x[:, 2] + x[:, 9])).astype(float), list(quality.STATISTICS))
+    assert 0 < len(model.weights) < 200
+    scores = {(r["doc_id"], r["score"]) for r in quality.score(docs, model).collect()}
+    for r in docs.collect():
+        s = dict(zip(quality.STATISTICS, plain_statistics(r["text"] or "")))
+        margin = model.intercept + sum(w for rule, w in model.weights if all((s[n] > v) == above for n, above, v in rule.terms))
+        assert any(i == r["doc_id"] and v == pytest.approx(1 / (1 + math.exp(-margin))) for i, v in scores)
+
+
+def test_quality_of_conflicting_labels_and_repeated_ids(spark, make_docs):
+    """Each pair of a document and a label counts once, so equal numbers of both labels pull to the middle."""
+    docs = make_docs([(1, "a b"), (1, "a b"), (2, "c d"), (3, "e f")])
+    labels = spark.createDataFrame([(i, q) for i in (1, 2, 3) for q in (0, 1)], "doc_id bigint, quality int")
+    got = quality.score(docs, quality.fit(docs, labels)).collect()
+    assert len(got) == 4 and all(r["score"] == pytest.approx(0.5, abs=1e-6) for r in got)
+
+
+def test_quality_sample_is_bounded_and_stable(spark, make_docs):
+    docs = make_docs([(i, ("good text " if i % 2 else "BAD!! ") * 20) for i in range(400)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id bigint, quality int")
+    a, b = (quality.fit(docs.repartition(k), labels.repartition(k), sample=100) for k in (1, 5))
+    assert a == b and a != quality.fit(docs, labels, sample=399)
+
+
 def test_quality_without_labels(spark, make_docs):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     model = quality.fit(make_docs([(1, "a")]), none)
@@ -120,8 +163,9 @@ def test_lasso_conditions():
     assert np.all(np.abs(slope) <= 0.01 + 1e-4) and np.allclose(slope[w != 0], -0.01 * np.sign(w[w != 0]), atol=1e-3) and (w == 0).any()
 
 
-@pytest.mark.parametrize("sample,part_rows", [(8192, 10_000), (600, 40)])
-def test_neighbours_against_brute_force(spark, sample, part_rows):
+@pytest.mark.parametrize("sample,part_rows,fan", [(8192, 10_000, 8), (600, 40, 8), (300, 40, 2)])
+def test_neighbours_against_brute_force(spark, monkeypatch, sample, part_rows, fan):
+    monkeypatch.setattr(ann, "FAN_BITS", fan)
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((16, 12))
     x = (centres[rng.integers(0, 16, 800)] + 0.4 * rng.standard_normal((800, 12))).astype(np.float32)
@@ -154,6 +198,30 @@ def test_neighbours_of_few(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(20, 1, 1, 0.5), (20, 2, 2, 0.5)]
 
 
+def test_repeated_vectors_in_many_parts_and_large_numbers(spark):
+    rng = np.random.default_rng(5)
+    x = (1e15 * rng.standard_normal((400, 6))).astype(np.float32)
+    x[200:] = x[:200]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += rows[:50]
+    got = defaultdict(list)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), part_rows=20, recall=1.0, k=5).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    a = x.astype(np.float64)
+    for q, own in got.items():
+        s = np.einsum("ij,j->i", a, a[q])
+        s[q] = -np.inf
+        best = sorted(range(400), key=lambda i: (-s[i], i))[:5]
+        own = sorted(own)
+        assert [r for r, *_ in own] == [1, 2, 3, 4, 5]
+        assert np.allclose([v for *_, v in own], s[best], rtol=1e-12)
+
+
+def test_levels_of_parts():
+    assert ann.part_bits(1000, 1024) == [0] and ann.part_bits(60_000, 1024) == [6]
+    assert sum(ann.part_bits(10**9, 1024)) == 20 and max(ann.part_bits(10**9, 1024)) <= ann.FAN_BITS
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((500, 8))
@@ -161,23 +229,33 @@ def test_parts_are_balanced():
     assert len(np.bincount(part)) == 8 and np.ptp(np.bincount(part)) <= 3
 
 
-def least_cost(roles):
-    """The cheapest repair by trying all."""
-    best = math.inf
-    for states in itertools.product(range(1, 4), repeat=len(roles)):
-        cost, at = 0, 0
-        for role, to in zip(roles, states):
-            way = chat.MOVES[role].get((at, to))
-            if way is None:
-                break
-            cost, at = cost + way[0], to
-        else:
-            best = min(best, cost + chat.CLOSE[at])
-    return best
+def plain_repair_cost(roles):
+    """The cheapest repair, from the rules as they are told: a conversation is an optional system turn, then user and
+    assistant in turn, ending with the assistant; merging costs 1, an empty turn 2, another role 3.  Dijkstra
+    over (turns used, role of the last turn), with no table of the code's."""
+    follows = {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
+    heap, done = [(0, 0, "")], set()
+    while heap:
+        cost, used, last = heapq.heappop(heap)
+        if (used, last) in done:
+            continue
+        done.add((used, last))
+        if used == len(roles) and last in ("assistant", ""):
+            return cost
+        for nxt in follows[last]:
+            heapq.heappush(heap, (cost + 2, used, nxt))  # an empty turn
+            if used < len(roles):
+                heapq.heappush(heap, (cost + 3 * (nxt != roles[used]), used + 1, nxt))
+        if last and used < len(roles):
+            heapq.heappush(heap, (cost + 1 + 3 * (last != roles[used]), used + 1, last))
+    raise AssertionError
 
 
 def cost_of(actions):
-    return sum({"insert": chat.INSERT, "keep": 0}.get(a, ("relabel" in a) * chat.RELABEL + ("merge" in a) * chat.MERGE) for a in actions)
+    return sum({"insert": 2, "keep": 0}.get(a, ("relabel" in a) * 3 + ("merge" in a)) for a in actions)
+
+
+KNOWN = {"system": "system", "user": "user", "assistant": "assistant", "human": "user"}
 
 
 @pytest.mark.parametrize("parts", [1, 5])
@@ -187,6 +265,7 @@ def test_chat_repair(spark, parts):
     rows = []
     for c in range(40):
         rows += [(c, t, rng.choice(names), f"m{c}-{t}") for t in range(rng.randrange(1, 7))]
+    rows += [(502, 1, "user", "long " * 100_000), (502, 2, "assistant", ""), (502, 3, "", "")]
     rows += [(500, t % 50, rng.choice(names), "hot") for t in range(300)] + [(None, 1, "user", None), (None, None, "assistant", ""), (501, 1, "user", "x"), (501, 1, "user", "x")]
     turns = spark.createDataFrame([(*r, 1, "d") for r in rows], "conv_id bigint, turn bigint, role string, text string, part int, position string")
     got = defaultdict(list)
@@ -199,11 +278,7 @@ def test_chat_repair(spark, parts):
     for c, own in source.items():
         out = sorted(got[c], key=lambda r: (r["position"], r["piece"]))
         assert [r["position"] for r in out if r["action"] != "insert"] == list(range(len(own)))
-        roles = [chat.role_code(r[2]) for r in own]
-        d, back = chat.forward(np.array([0, chat.FAR, chat.FAR, chat.FAR]), roles)
-        assert cost_of([r["action"] for r in out]) == (d + chat.CLOSE).min()
-        if len(own) < 6:
-            assert (d + chat.CLOSE).min() == least_cost(roles)
+        assert cost_of([r["action"] for r in out]) == plain_repair_cost([KNOWN.get((r[2] or "").lower()) for r in own])
         text = ""
         shown = []
         for r in out:
@@ -211,11 +286,9 @@ def test_chat_repair(spark, parts):
             if not merged:
                 shown.append(r["role"])
             text += r["rendered"]
-        at = chat.START
-        for r in shown:
-            assert (at, chat.ROLES.index(r)) in chat.FOLLOWS
-            at = chat.ROLES.index(r)
-        assert at == chat.ASSISTANT and text.endswith("<|end|>\n") and text.count("<|end|>") == len(shown)
+        rest = shown[1:] if shown[0] == "system" else shown
+        assert rest == ["user", "assistant"] * (len(rest) // 2) and rest
+        assert text.endswith("<|end|>\n") and text.count("<|end|>") == len(shown)
         bare = [re.sub(r"<\|[a-z]+\|>\n", "", r["rendered"]).removeprefix("\n\n" if "merge" in r["action"] else "") for r in out]
         assert [t for t, r in zip(bare, out) if r["action"] != "insert"] == [r[3] or "" for r in own]
 
