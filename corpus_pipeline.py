@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import materialize
+from millrace.llm.common import materialize, scratch
 from millrace.llm.exact_dedup import drop_duplicates
 from millrace.llm.mixing import apply_mix
 from millrace.llm.packing import pack
@@ -61,8 +61,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, each written as Parquet and read again by the next.  An empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark):  # what a stage has written for itself goes when its result is there
+            docs = materialize(stage(spark, docs, sf_dir), name, keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
